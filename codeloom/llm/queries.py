@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact, mixing, urls
+from codeloom.llm import exact, langid, media, mixing, quality, secrets, simhash, token_files, tokens, urls
 from codeloom.sources.tables import table
 
 
@@ -20,5 +20,36 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_exact_dedup)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_report(table(spark, sf_dir, "documents"))
+
+
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_url_filter, op3_language_id, op4_token_files, op5_exact_dedup, op6_quality, op7_secret_scan, op8_simhash_near_dedup, op9_media_chunks, op10_byte_bpe)
+}
 ORACLES = {"op1_mixing": mixing.ORACLE_SQL, "op5_exact_dedup": exact.ORACLE_SQL}

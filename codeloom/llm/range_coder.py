@@ -1,0 +1,223 @@
+"""Adaptive context mixing and a range coder for blocks of token ids, many blocks in step.
+
+Each block starts from an empty model. Two predictors remember the id that followed the last id (order 1) and the
+last two ids (order 2) and how often they were right; their adaptive hit rates are mixed with a weight that follows the better
+one. A symbol says whether the first prediction holds, the second does, or neither; then order 0 codes the id
+by adaptive distributions over its first three groups of four bits, the last group being uniform. A 48-bit range
+coder turns the symbols into 16-bit digits; carries are settled at the end of a block.
+
+All arrays have one entry for each block ("lane"), so that numpy's cost for a call is shared by all of them.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+
+BLOCK, LANES = 4096, 1024
+SLOTS, NODES, WIDE = 4096, 273, 17
+TOTAL, FINE, FASTER = 15, 19, 4
+LOW = 1 << 32
+MAGIC = b"TIDS\x01"
+#: Where the boundaries of 16 symbols move to after symbol s.
+TARGET = np.array([[j if j <= s else (1 << TOTAL) - 16 + j for j in range(WIDE)] for s in range(16)], np.int32)
+
+
+class Model:
+    """The state of `lanes` blocks."""
+
+    def __init__(self, lanes: int):
+        self.lane = np.arange(lanes)
+        self.second = np.zeros(lanes * SLOTS, np.int32)  # id and, from bit 16 on, confidence 0 to 3
+        self.first = np.zeros(lanes * SLOTS, np.int32)
+        self.bounds = np.tile((np.arange(WIDE, dtype=np.int32) << (TOTAL - 4)), (lanes * NODES, 1))
+        self.hit2 = np.full(lanes * 4, 1 << 13, np.int64)
+        self.hit1 = np.full(lanes * 4, 1 << 13, np.int64)
+        self.other = np.full(lanes * 4, 1 << 12, np.int64)
+        self.weight = np.full(lanes, 128, np.int64)
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)
+
+    def predict(self, n: int):
+        """For the first n lanes: two candidate ids (-1: none) and the frequencies of their hits."""
+        lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
+        self.at2 = lane * SLOTS + ((before * 0x9E3779B1 + last * 0x85EBCA6B >> 11) & (SLOTS - 1))
+        self.at1 = lane * SLOTS + ((last * 0x9E3779B1 >> 13) & (SLOTS - 1))
+        e2, e1 = self.second[self.at2].astype(np.int64), self.first[self.at1].astype(np.int64)
+        c2, c1, i2, i1 = e2 >> 16, e1 >> 16, e2 & 0xFFFF, e1 & 0xFFFF
+        one = np.where(c2 > 0, i2, np.where(c1 > 0, i1, -1))
+        agree = (c1 > 0) & (i1 == one)
+        two = np.where((c1 > 0) & ~agree, i1, -1)
+        self.k2, self.k1, self.ko = lane * 4 + c2, lane * 4 + np.where(agree, c1, 0), lane * 4 + c1
+        self.p2, self.p1 = self.hit2[self.k2], self.hit1[self.k1]
+        w = self.weight[:n]
+        f1 = np.where(one >= 0, np.clip((w * self.p2 + (256 - w) * self.p1) >> 8, 64, (1 << TOTAL) - 1024), 0)
+        f2 = np.where(two >= 0, np.clip(self.other[self.ko] * ((1 << TOTAL) - f1) >> TOTAL, 32, 1 << 14), 0)
+        f2 = np.minimum(f2, (1 << TOTAL) - 64 - f1)
+        self.one, self.two = one, two
+        return one, two, f1, f2
+
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        hit, some = ids == self.one, self.one >= 0
+        near = np.where(hit, 1 << TOTAL, 0)
+        self.hit2[self.k2] = np.where(some, self.p2 + ((near - self.p2) >> FASTER), self.p2)
+        self.hit1[self.k1] = np.where(some, self.p1 + ((near - self.p1) >> FASTER), self.p1)
+        o, tried = self.other[self.ko], (self.two >= 0) & ~hit
+        self.other[self.ko] = np.where(tried, o + ((np.where(ids == self.two, 1 << TOTAL, 0) - o) >> FASTER), o)
+        w = self.weight[:n]
+        w += np.where(some & (self.p1 != self.p2), np.where((self.p2 > self.p1) == hit, (256 - w) >> 5, -(w >> 5)), 0)
+        for table, at in ((self.second, self.at2), (self.first, self.at1)):
+            e = table[at]
+            c, same = e >> 16, (e & 0xFFFF) == ids
+            keep = same | (c > 1)
+            c = np.where(same & (c > 0), np.minimum(c + 1, 3), np.where(keep & (c > 0), c - 1, 1))
+            table[at] = np.where(keep & (e >> 16 > 0), e & 0xFFFF, ids) | c << 16
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
+
+    def rows(self, lanes: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = lanes * NODES + node
+        return at, self.bounds[at]
+
+    def moved(self, at: np.ndarray, rows: np.ndarray, symbol: np.ndarray) -> None:
+        rows += (TARGET[symbol] - rows) >> FASTER
+        self.bounds[at] = rows
+
+
+def packed(blocks: list[np.ndarray]) -> list[bytes]:
+    """The bytes of each block of ids under 65,536: magic, length, CRC-32 of the ids, digits."""
+    order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
+    sizes = np.array([len(blocks[k]) for k in order])
+    lanes, most = len(order), int(sizes[0]) if len(order) else 0
+    ids = np.zeros((most, lanes), np.int64)
+    for lane, k in enumerate(order):
+        ids[: sizes[lane], lane] = blocks[k]
+    model = Model(lanes)
+    low, wide, filled = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
+    digits = np.zeros((lanes, most + 64), np.int32)
+
+    def code(n, shift, start, size):
+        nonlocal digits
+        r = wide[:n] >> shift
+        low[:n] += r * start
+        wide[:n] = r * size
+        out = np.flatnonzero(wide[:n] < LOW)
+        if len(out):
+            digits[out, filled[out]] = low[out] >> 32
+            low[out] = (low[out] & (LOW - 1)) << 16
+            wide[out] <<= 16
+            filled[out] += 1
+
+    active = (sizes[None, :] > np.arange(most)[:, None]).sum(1) if lanes else []
+    for t in range(most):
+        n = int(active[t])
+        if t % 16 == 0 and filled.max() + 80 > digits.shape[1]:  # a step gives at most 4 digits
+            digits = np.concatenate([digits, np.zeros((lanes, most // 2 + 64), np.int32)], axis=1)
+        x = ids[t, :n]
+        one, two, f1, f2 = model.predict(n)
+        hit1, hit2 = x == one, x == two
+        miss = ~(hit1 | hit2)
+        code(n, TOTAL, np.where(hit1, 0, np.where(hit2, f1, f1 + f2)), np.where(hit1, f1, np.where(hit2, f2, (1 << TOTAL) - f1 - f2)))
+        on = np.flatnonzero(miss)
+        if len(on):
+            y = x[on]
+            node = np.zeros(len(on), np.int64)
+            for level, symbol in enumerate((y >> 12, y >> 8 & 15, y >> 4 & 15)):
+                at, rows = model.rows(on, node)
+                each = np.arange(len(on))
+                a, z = rows[each, symbol], rows[each, symbol + 1]
+                shift = TOTAL if level < 2 else FINE
+                start, size = np.zeros(n, np.int64), np.full(n, 1 << shift, np.int64)
+                start[on], size[on] = (a, z - a) if level < 2 else (a * 16 + (z - a).astype(np.int64) * (y & 15), z - a)
+                code(n, shift, start, size)
+                model.moved(at, rows, symbol)
+                node = 1 + symbol if level == 0 else 17 + (y >> 8)
+        model.learn(n, x)
+    for shift in (32, 16, 0):
+        digits = digits if filled.max(initial=0) < digits.shape[1] else np.concatenate([digits, np.zeros((lanes, 8), np.int32)], axis=1)
+        digits[np.arange(lanes), filled] = low >> shift & (0x1FFFF if shift == 32 else 0xFFFF)
+        filled += 1
+    for c in range(int(filled.max(initial=1)) - 1, 0, -1):
+        digits[:, c - 1] += digits[:, c] >> 16
+        digits[:, c] &= 0xFFFF
+    out: list = [b""] * lanes
+    for lane, k in enumerate(order):
+        head = struct.pack("<II", sizes[lane], zlib.crc32(np.asarray(blocks[k]).astype("<u2").tobytes()))
+        out[k] = MAGIC + head + digits[lane, : filled[lane]].astype(">u2").tobytes()
+    return out
+
+
+def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    """The ids of each block; raises ValueError where a block isn't whole."""
+    heads = []
+    for blob in blobs:
+        if blob[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a block of token ids")
+        heads.append(struct.unpack_from("<II", blob, len(MAGIC)))
+    order = sorted(range(len(blobs)), key=lambda k: -heads[k][0])
+    sizes = np.array([heads[k][0] for k in order])
+    lanes, most = len(order), int(sizes[0]) if len(order) else 0
+    start = len(MAGIC) + 8
+    longest = max((len(b) - start for b in blobs), default=0) // 2 + 8
+    digits = np.zeros((lanes, longest), np.int64)
+    for lane, k in enumerate(order):
+        d = np.frombuffer(blobs[k], ">u2", offset=start)
+        digits[lane, : len(d)] = d
+    model = Model(lanes)
+    wide, read = np.full(lanes, 1 << 48, np.int64), np.full(lanes, 3, np.int64)
+    left = digits[:, 0] << 32 | digits[:, 1] << 16 | digits[:, 2]
+    ids = np.zeros((most, lanes), np.int64)
+
+    def taken(n, r, begin, size):
+        left[:n] -= r * begin
+        wide[:n] = r * size
+        more = np.flatnonzero(wide[:n] < LOW)
+        if len(more):
+            left[more] = left[more] << 16 | digits[more, np.minimum(read[more], longest - 1)]
+            wide[more] <<= 16
+            read[more] += 1
+
+    active = (sizes[None, :] > np.arange(most)[:, None]).sum(1) if lanes else []
+    for t in range(most):
+        n = int(active[t])
+        one, two, f1, f2 = model.predict(n)
+        r = wide[:n] >> TOTAL
+        v = np.minimum(left[:n] // r, (1 << TOTAL) - 1)
+        hit1 = v < f1
+        hit2 = ~hit1 & (v < f1 + f2)
+        taken(n, r, np.where(hit1, 0, np.where(hit2, f1, f1 + f2)), np.where(hit1, f1, np.where(hit2, f2, (1 << TOTAL) - f1 - f2)))
+        x = np.where(hit1, one, two)
+        on = np.flatnonzero(~(hit1 | hit2))
+        if len(on):
+            node, y = np.zeros(len(on), np.int64), np.zeros(len(on), np.int64)
+            for level in range(3):
+                at, rows = model.rows(on, node)
+                shift = TOTAL if level < 2 else FINE
+                r = wide[:n] >> shift
+                v = np.minimum(left[on] // r[on], (1 << shift) - 1)
+                symbol = (rows[:, 1:16] <= (v if level < 2 else v >> 4)[:, None]).sum(1)
+                each = np.arange(len(on))
+                a, z = rows[each, symbol].astype(np.int64), rows[each, symbol + 1].astype(np.int64)
+                begin, size = np.zeros(n, np.int64), np.full(n, 1 << shift, np.int64)
+                if level < 2:
+                    begin[on], size[on] = a, z - a
+                    y = y << 4 | symbol
+                else:
+                    tail = np.minimum((v - a * 16) // (z - a), 15)
+                    begin[on], size[on] = a * 16 + (z - a) * tail, z - a
+                    y = y << 8 | symbol << 4 | tail
+                taken(n, r, begin, size)
+                model.moved(at, rows, symbol)
+                node = 1 + symbol if level == 0 else 17 + y
+            x[on] = y
+        ids[t, :n] = x
+        model.learn(n, x)
+    out: list = [None] * lanes
+    for lane, k in enumerate(order):
+        found = ids[: sizes[lane], lane].astype(np.uint16)
+        if zlib.crc32(found.astype("<u2").tobytes()) != heads[k][1]:
+            raise ValueError("a block of token ids fails its checksum")
+        out[k] = found
+    return out
