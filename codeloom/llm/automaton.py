@@ -105,6 +105,13 @@ def either_case(node):
     return (kind, [either_case(x) for x in node[1]])
 
 
+def shortest_end(node):
+    """The node with its last repetition cut to the least number: it matches somewhere exactly if the node does."""
+    if node[0] == "cat" and node[1]:
+        return ("cat", [*node[1][:-1], shortest_end(node[1][-1])])
+    return ("rep", node[1], node[2], node[2]) if node[0] == "rep" and node[2] else node
+
+
 def reversed_node(node):
     if node[0] == "cat":
         return ("cat", [reversed_node(x) for x in reversed(node[1])])

@@ -1,7 +1,7 @@
 """Secret scan by one deterministic automaton for all rules.
 
-All rules are compiled into one automaton that walks each text once, byte by byte, and notes the ends of
-matches. Only where it finds any, the automaton of each such rule reversed walks back over the text and marks where
+All rules are compiled into one automaton that walks each text once, byte by byte, and notes the rules that
+match somewhere. Only where it finds any, the automaton of each such rule reversed walks back over the text and marks where
 matches start, and from each leftmost start the rule's own automaton takes the longest match. Matches of
 a kind don't overlap, and one that fails the kind's length condition is dropped after it has consumed its
 text. Work is linear in the text, whatever it holds.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.automaton import Automaton, Syntax, compiled, either_case, reversed_node
+from codeloom.llm.automaton import Automaton, Syntax, compiled, either_case, reversed_node, shortest_end
 from codeloom.llm.shared import byte_texts, small_batches
 
 
@@ -113,7 +113,7 @@ def scanner(rules: tuple = RULES) -> Scanner:
     """The rules' automata; compiled once in a process."""
     nodes = [r.node() for r in rules]
     heads = [compiled([either_case(h) if r.folded else h], False) if r.of_body else None for r in rules for h in [Syntax(r.head).parse()]]
-    return Scanner(compiled(nodes, True), [compiled([reversed_node(n)], True) for n in nodes], [compiled([n], False) for n in nodes], heads, rules)
+    return Scanner(compiled([shortest_end(n) for n in nodes], True), [compiled([reversed_node(n)], True) for n in nodes], [compiled([n], False) for n in nodes], heads, rules)
 
 
 def in_code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
