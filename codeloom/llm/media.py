@@ -10,7 +10,8 @@ its low bits are zero, so that equal stretches give equal chunks wherever they s
 - `own`: chunks that no other place has, in one row for each file, written where the file is read; no bytes are shuffled.
 - `shared`: chunks with more than one place, one row for each digest.
 
-Reading joins the shared chunks to the files that list them, puts each file's chunks in order, checks
+Reading joins the shared chunks to the files that list them (a chunk that very many files list is left to adaptive
+skew-join splitting, which repeats a digest's one row, not its files), puts each file's chunks in order, checks
 every digest, and verifies the file. Files without shared chunks need no join.
 
 Defined results: null and empty texts are FRAME spaces; equal texts give equal values; repeated rows
@@ -33,7 +34,6 @@ from codeloom.llm.shared import byte_texts, small_batches, written
 
 FRAME, RATE = 192, 8000
 LEAST, MOST, AVERAGE_BITS, SEED = 512, 8192, 11, 7
-SALTS = 16
 GEAR = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -184,9 +184,8 @@ def verified(own: DataFrame, shared: DataFrame) -> DataFrame:
     schema = f"doc_id {id_type}, {fields}"
     first = own.where(~lacks).select("doc_id", "n_bytes", "digests", "pieces").mapInArrow(alone, schema)
     lacking = own.where(lacks)
-    wanted = lacking.select("row", F.posexplode(F.arrays_zip("digests", "pieces")).alias("at", "chunk")).where("chunk.pieces IS NULL").select("row", "at", F.col("chunk.digests").alias("key"), F.pmod(F.hash("row", "at"), F.lit(SALTS)).alias("salt"))
-    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    got = wanted.join(salted, ["key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("at", "piece")).alias("got"))
+    wanted = lacking.select("row", F.posexplode(F.arrays_zip("digests", "pieces")).alias("at", "chunk")).where("chunk.pieces IS NULL").select("row", "at", F.col("chunk.digests").alias("key"))
+    got = wanted.join(shared, "key").groupBy("row").agg(F.collect_list(F.struct("at", "piece")).alias("got"))
     joined = lacking.join(got, "row").select("doc_id", "n_bytes", "digests", "pieces", F.col("got.at").alias("places"), F.col("got.piece").alias("found"))
     return first.unionByName(joined.mapInArrow(together, schema))
 
