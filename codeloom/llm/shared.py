@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a parquet table in the shared folder. Cuts the lineage: a lost executor costs no recomputation of df."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/codeloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
