@@ -96,30 +96,33 @@ def packed(blocks: list[np.ndarray]) -> list[bytes]:
         ids[: sizes[lane], lane] = blocks[k]
     model = Model(lanes)
     low, wide, filled = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
-    digits = np.zeros((lanes, most + 64), np.int32)
+    digits = np.zeros((lanes, most + 96), np.int32)
 
-    def code(n, shift, start, size):
+    def code(on, shift, start, size):
+        """Only the lanes in `on` are touched: a block's bytes don't depend on its neighbours."""
         nonlocal digits
-        r = wide[:n] >> shift
-        low[:n] += r * start
-        wide[:n] = r * size
-        out = np.flatnonzero(wide[:n] < LOW)
-        if len(out):
+        r = wide[on] >> shift
+        low[on] += r * start
+        after = r * size
+        wide[on] = after
+        out = on[after < LOW]
+        while len(out):  # a symbol of 1 in 2^FINE needs two digits
             digits[out, filled[out]] = low[out] >> 32
             low[out] = (low[out] & (LOW - 1)) << 16
             wide[out] <<= 16
             filled[out] += 1
+            out = out[wide[out] < LOW]
 
     active = (sizes[None, :] > np.arange(most)[:, None]).sum(1) if lanes else []
     for t in range(most):
         n = int(active[t])
-        if t % 16 == 0 and filled.max() + 80 > digits.shape[1]:  # a step gives at most 4 digits
-            digits = np.concatenate([digits, np.zeros((lanes, most // 2 + 64), np.int32)], axis=1)
+        if t % 16 == 0 and filled.max() + 96 > digits.shape[1]:  # a step gives at most 5 digits
+            digits = np.concatenate([digits, np.zeros((lanes, most // 2 + 96), np.int32)], axis=1)
         x = ids[t, :n]
         one, two, f1, f2 = model.predict(n)
         hit1, hit2 = x == one, x == two
         miss = ~(hit1 | hit2)
-        code(n, TOTAL, np.where(hit1, 0, np.where(hit2, f1, f1 + f2)), np.where(hit1, f1, np.where(hit2, f2, (1 << TOTAL) - f1 - f2)))
+        code(model.lane[:n], TOTAL, np.where(hit1, 0, np.where(hit2, f1, f1 + f2)), np.where(hit1, f1, np.where(hit2, f2, (1 << TOTAL) - f1 - f2)))
         on = np.flatnonzero(miss)
         if len(on):
             y = x[on]
@@ -128,10 +131,8 @@ def packed(blocks: list[np.ndarray]) -> list[bytes]:
                 at, rows = model.rows(on, node)
                 each = np.arange(len(on))
                 a, z = rows[each, symbol], rows[each, symbol + 1]
-                shift = TOTAL if level < 2 else FINE
-                start, size = np.zeros(n, np.int64), np.full(n, 1 << shift, np.int64)
-                start[on], size[on] = (a, z - a) if level < 2 else (a * 16 + (z - a).astype(np.int64) * (y & 15), z - a)
-                code(n, shift, start, size)
+                size = (z - a).astype(np.int64)
+                code(on, TOTAL if level < 2 else FINE, a if level < 2 else a * 16 + size * (y & 15), size)
                 model.moved(at, rows, symbol)
                 node = 1 + symbol if level == 0 else 17 + (y >> 8)
         model.learn(n, x)
@@ -170,14 +171,16 @@ def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
     left = digits[:, 0] << 32 | digits[:, 1] << 16 | digits[:, 2]
     ids = np.zeros((most, lanes), np.int64)
 
-    def taken(n, r, begin, size):
-        left[:n] -= r * begin
-        wide[:n] = r * size
-        more = np.flatnonzero(wide[:n] < LOW)
-        if len(more):
+    def taken(on, r, begin, size):
+        left[on] -= r * begin
+        after = r * size
+        wide[on] = after
+        more = on[after < LOW]
+        while len(more):
             left[more] = left[more] << 16 | digits[more, np.minimum(read[more], longest - 1)]
             wide[more] <<= 16
             read[more] += 1
+            more = more[wide[more] < LOW]
 
     active = (sizes[None, :] > np.arange(most)[:, None]).sum(1) if lanes else []
     for t in range(most):
@@ -187,7 +190,7 @@ def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
         v = np.minimum(left[:n] // r, (1 << TOTAL) - 1)
         hit1 = v < f1
         hit2 = ~hit1 & (v < f1 + f2)
-        taken(n, r, np.where(hit1, 0, np.where(hit2, f1, f1 + f2)), np.where(hit1, f1, np.where(hit2, f2, (1 << TOTAL) - f1 - f2)))
+        taken(model.lane[:n], r, np.where(hit1, 0, np.where(hit2, f1, f1 + f2)), np.where(hit1, f1, np.where(hit2, f2, (1 << TOTAL) - f1 - f2)))
         x = np.where(hit1, one, two)
         on = np.flatnonzero(~(hit1 | hit2))
         if len(on):
@@ -195,20 +198,18 @@ def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
             for level in range(3):
                 at, rows = model.rows(on, node)
                 shift = TOTAL if level < 2 else FINE
-                r = wide[:n] >> shift
-                v = np.minimum(left[on] // r[on], (1 << shift) - 1)
+                r = wide[on] >> shift
+                v = np.minimum(left[on] // r, (1 << shift) - 1)
                 symbol = (rows[:, 1:16] <= (v if level < 2 else v >> 4)[:, None]).sum(1)
                 each = np.arange(len(on))
                 a, z = rows[each, symbol].astype(np.int64), rows[each, symbol + 1].astype(np.int64)
-                begin, size = np.zeros(n, np.int64), np.full(n, 1 << shift, np.int64)
                 if level < 2:
-                    begin[on], size[on] = a, z - a
+                    taken(on, r, a, z - a)
                     y = y << 4 | symbol
                 else:
                     tail = np.minimum((v - a * 16) // (z - a), 15)
-                    begin[on], size[on] = a * 16 + (z - a) * tail, z - a
+                    taken(on, r, a * 16 + (z - a) * tail, z - a)
                     y = y << 8 | symbol << 4 | tail
-                taken(n, r, begin, size)
                 model.moved(at, rows, symbol)
                 node = 1 + symbol if level == 0 else 17 + y
             x[on] = y
