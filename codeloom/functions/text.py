@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+|[一-鿿]+"
+SNAKE = r"\b_+[A-Za-z0-9_]+|[a-z]+_[a-zA-Z0-9_]+\b"
+CAMEL = r"\b[A-Z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\b"
+DOTTED = r"\b[a-zA-Z_][a-zA-Z0-9_]*(\.[a-zA-Z_][a-zA-Z0-9_]*)+\b"
 STOPWORDS = (
     "the a an and or to of in on for with is are was were be been being this that these those it its as by from at not "
     "should would could can cannot when while if then than into using use used"
@@ -70,7 +73,9 @@ def focus(text: Column) -> dict[str, Column]:
 
 
 def looks_like_code(text: Column) -> Column:
-    return text.rlike(r"\.py\b|[/\\]") | text.rlike("[a-z0-9]_[a-z0-9]|__[a-z]+__") | text.rlike("[a-z][A-Z]") | text.rlike(r"\b[A-Za-z_]\w*\.[A-Za-z_]\w*")
+    """A path, a name with underscores, a name with two capitals, or a dotted name."""
+    path = text.rlike(r"[/\\]|\.py")
+    return path | text.rlike(SNAKE) | text.rlike(CAMEL) | text.rlike(DOTTED)
 
 
 def tolerant_json(text: Column, field: str) -> Column:

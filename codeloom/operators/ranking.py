@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import cosine, tokens
+from codeloom.functions.text import cosine, looks_like_code, tokens
 
 K1, B = 1.5, 0.75
 
@@ -80,3 +80,34 @@ def group_weights(step: Column) -> dict[str, Column]:
     base = 0.3 + 0.9 * F.exp(-0.25 * step)
     scale = {"exact": (0.50, 1.10), "method_class": (0.40, 0.95), "error": (0.30, 0.85), "bm25": (0.30, 0.80), "behavior": (0.20, 0.60)}
     return {name: F.round(F.greatest(F.lit(least), factor * base), 6) for name, (least, factor) in scale.items()}
+
+
+def seeds(semantic: DataFrame, lexical: DataFrame, types: DataFrame, k: int = 3, beta=0.55, gamma=0.20) -> DataFrame:
+    """node, score: the nodes from which structural search starts. semantic, lexical: (node, score, rank from 0), ranked lists; types: (node, type)."""
+    one = lambda df, n: df.select("node", F.col("score").alias(n), F.col("rank").alias(f"{n}_rank"))
+    both = one(semantic, "e").join(one(lexical, "b"), "node", "full").join(types.select("node", F.lower("type").alias("type")), "node", "left")
+    part = lambda weight, n: F.coalesce(weight * F.col(n) + 0.02 / (F.col(f"{n}_rank") + 1), F.lit(0.0))
+    bonus = F.when(F.col("type").isin("method", "function"), 0.04).when(F.col("type") == "class", 0.03).when(F.col("type") == "module", 0.01).otherwise(0.0)
+    overlap = F.when(F.col("e").isNotNull() & F.col("b").isNotNull(), 0.05).otherwise(0.0)
+    scored = both.select("node", F.round(part(beta, "e") + part(gamma, "b") + overlap + bonus, 8).alias("score"), F.when(F.col("e").isNull(), F.col("b")).otherwise(0.0).alias("by_b"), F.coalesce("e", F.lit(0.0)).alias("by_e"))
+    return scored.orderBy(F.desc("score"), F.desc("by_b"), F.desc("by_e"), "node").limit(k).select("node", "score")
+
+
+def priority_queries(queries: DataFrame, most: int = 12, initial: int = 2) -> DataFrame:
+    """instance, place, query, score: the queries that are kept, best first. queries: (instance, ord, group, query, weight).
+
+    Of queries that are equal but for case the first counts. The best `initial` of the groups named initial_* stay in any case.
+    """
+    text, group = F.trim("query"), F.col("group")
+    by = Window.partitionBy("instance")
+    clean = queries.withColumn("query", text).where("query <> ''").withColumn("nth", F.row_number().over(Window.partitionBy("instance", F.lower("query")).orderBy("ord"))).where("nth = 1")
+    plus = lambda when, x: F.when(when, x).otherwise(0.0)
+    score = F.col("weight") + F.when(group == "current_query", 0.40).when(group.startswith("query_"), 0.25).otherwise(0.0)
+    for mark, x in (("exact_symbols", 0.35), ("method_class", 0.25), ("error", 0.15), ("behavior", -0.20), ("bm25_queries", -0.10)):
+        score = score + plus(group.contains(mark), x)
+    score = score + plus(looks_like_code(F.col("query")), 0.30) + plus(F.size(F.split(F.col("query"), r"\s+")) > 12, -0.15)
+    scored = clean.withColumn("score", F.round(score, 6)).withColumn("early", group.startswith("initial_"))
+    ranked = scored.withColumn("nth", F.row_number().over(Window.partitionBy("instance", "early").orderBy(F.desc("score"), "ord")))
+    kept = ranked.withColumn("sure", F.col("early") & (F.col("nth") <= initial))
+    chosen = kept.withColumn("nth", F.row_number().over(by.orderBy(F.desc("sure"), F.desc("score"), "ord"))).where(F.col("nth") <= most)
+    return chosen.select("instance", F.row_number().over(by.orderBy(F.desc("score"), "ord")).alias("place"), "query", "score")

@@ -58,3 +58,29 @@ def test_matches_sql(spark, name):
     assert len(got) == len(expected)
     fix = lambda f: f.apply(lambda c: c.map(lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) and not math.isnan(v) else v))
     assert rows(fix(got)) == rows(fix(expected))
+
+
+def test_latent_rows_have_length_one(spark):
+    from codeloom.operators import latent
+
+    docs = spark.createDataFrame([(1, "a cat sat"), (2, "a cat ran"), (3, "dogs bark loud"), (4, "dogs bark"), (5, None), (6, "")], "doc_id int, text string")
+    rows = {r.node: r.vec for r in latent.embedded(docs, width=2).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    near = lambda a, b: sum(x * y for x, y in zip(rows[a], rows[b], strict=True))
+    assert all(math.isclose(near(k, k), 1, abs_tol=1e-9) for k in rows)
+    assert near(1, 2) > 0.9 and near(3, 4) > 0.9 and abs(near(1, 3)) < 0.2
+    assert latent.embedded(docs.where("doc_id > 4")).count() == 0
+
+
+def test_priority_keeps_initial_queries(spark):
+    rows = [(1, k, "current_query", f"a_{k}", 1.0) for k in range(20)] + [(1, 30, "initial_behavior", "slow words", 0.2), (1, 31, "initial_behavior", "A_1", 0.2)]
+    found = ranking.priority_queries(spark.createDataFrame(rows, "instance int, ord int, `group` string, query string, weight double")).orderBy("place").collect()
+    assert len(found) == 12 and found[-1].query == "slow words" and [r.query for r in found[:2]] == ["a_0", "a_1"]
+
+
+def test_submission(spark):
+    from codeloom.functions import commands
+
+    mark = "COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT"
+    rows = spark.createDataFrame([(f" {mark}\nx\ny", 0), (mark, 0), (f"{mark}\nx", 1), ("x", 0), (None, 0)], "o string, c int")
+    assert [r[0] for r in rows.select(commands.submission(F.col("o"), F.col("c"))).collect()] == ["x\ny", "", None, None, None]
