@@ -198,7 +198,7 @@ def drop_copies(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY)
     """docs without the copies, with the columns of docs. Rows of a kept id travel only where the id is repeated."""
     rows, index = build_index(docs, ident, text, capacity)
     groups = index.where("n > 1").select("key", "keep_id")
-    copied = rows.join(groups, "key").select("key", "doc_id", "keep_id")
+    copied = rows.join(groups.hint("merge"), "key").select("key", "doc_id", "keep_id")
     dropped = written(copied.where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct(), "dropped")
     twice = written(copied.where(F.col("keep_id").eqNullSafe(F.col("doc_id"))).groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "twice")
     own = F.unhex(F.sha2(fold_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary"), 256))
