@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
@@ -42,14 +44,11 @@ def embedded(docs: DataFrame, ident: str = "doc_id", text: str = "text", feature
         return weights.select("node", F.array().cast("array<double>").alias("vec"))
     k = max(1, min(width, wide, there - 1))
     matrix = RowMatrix(weights.select("row").rdd.map(lambda r: Vectors.sparse(wide + 1, [(x.place, x.w) for x in r.row])))
-    found = matrix.computeSVD(k)
-    axes = docs.sparkSession.sparkContext.broadcast(found.V.toArray())
+    _, right = np.linalg.eigh(matrix.computeGramianMatrix().toArray())  # one pass over the rows; smallest values first
+    axes = docs.sparkSession.sparkContext.broadcast(right[:, ::-1][:, :k].copy())
 
     @F.pandas_udf("array<double>")
     def projected(places, values):
-        import numpy as np
-        import pandas as pd
-
         out = []
         for p, w in zip(places, values, strict=True):
             v = np.asarray(w) @ axes.value[np.asarray(p)]
