@@ -82,7 +82,7 @@ def destructive(diff: Column) -> Column:
     """A diff that empties a file, or deletes far more than it adds."""
     diff = F.coalesce(diff, F.lit(""))
     lines = F.filter(F.split(diff, "\n"), lambda x: ~x.startswith("---") & ~x.startswith("+++"))
-    gone, new = (F.size(F.filter(lines, lambda x, s=s: x.startswith(s))) for s in "-+")
+    gone, new = F.size(F.filter(lines, lambda x: x.startswith("-"))), F.size(F.filter(lines, lambda x: x.startswith("+")))
     many = (gone >= 80) & (new <= 5) | (gone >= 120) & (gone >= 10 * F.greatest(new, F.lit(1)))
     return F.contains(diff, F.lit(EMPTY_BLOB)) | diff.rlike(EMPTIED_HUNK) | many
 

@@ -84,3 +84,12 @@ def test_submission(spark):
     mark = "COMPLETE_TASK_AND_SUBMIT_FINAL_OUTPUT"
     rows = spark.createDataFrame([(f" {mark}\nx\ny", 0), (mark, 0), (f"{mark}\nx", 1), ("x", 0), (None, 0)], "o string, c int")
     assert [r[0] for r in rows.select(commands.submission(F.col("o"), F.col("c"))).collect()] == ["x\ny", "", None, None, None]
+
+
+def test_destructive_diffs(spark):
+    from codeloom.functions import commands
+
+    many, few, more = "-x\n" * 90, "+y\n" * 5, "+y\n" * 20
+    texts = [(many + few, True), (many + more, False), ("-x\n" * 200 + more, True), ("@@ -1,3 +0,0 @@", True), ("index 1..e69de29bb", True), ("", False), (None, False)]
+    rows = spark.createDataFrame(texts, "d string, expected boolean")
+    assert all(r[0] == r[1] for r in rows.select(commands.destructive(F.col("d")), "expected").collect())
