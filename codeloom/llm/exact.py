@@ -9,6 +9,8 @@ first 64 bits, compares the bytes of the texts in a chain, and writes one index
 Most texts occur once. A fixed-size bit table of the keys that occur more often tells which texts have to
 travel for the comparison; a false hit costs a text's transport, nothing else. Equal texts within one batch
 are merged before the shuffle, so a text that a third of all rows share reaches its owner once a batch.
+Groups of more than a HOT-th of all rows, of which there are fewer than HOT, are broadcast to their rows; the
+rows of other groups meet them by key.
 
 Defined results: the row with the largest doc_id stays (ids that are null come last); of repeated rows with
 that id exactly one stays; empty and null texts are one group; an empty table gives an empty index.
@@ -29,6 +31,8 @@ from codeloom.llm.shared import byte_texts, fold_ascii, small_batches, written
 CAPACITY, DEPTH = 1024, 16
 #: The table of repeated keys has 2^FILTER_BITS bits (4 MB).
 FILTER_BITS = 25
+#: A group of more than one in HOT rows is hot; there are fewer than HOT such groups.
+HOT = 4096
 PAGE = 32768  # bits in a value of Spark's bitmap_construct_agg
 
 
@@ -178,12 +182,20 @@ def build_index(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY)
     return rows, written(dealt.mapInArrow(own, f"bucket long, key binary, place int, n long, keep_id {id_type}"), "index")
 
 
+def with_groups(rows: DataFrame, index: DataFrame, how: str) -> DataFrame:
+    """rows with n and keep_id of their group, where it has more than one row; how is inner or left for the others."""
+    groups = index.where("n > 1").select("key", "n", "keep_id")
+    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(groups.where(F.col("n") * HOT > total))
+    rest = rows.join(hot.select("key"), "key", "left_anti").join(groups.where(F.col("n") * HOT <= total), "key", how)
+    return rows.join(hot, "key").unionByName(rest)
+
+
 def exact_groups(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs."""
     rows, index = build_index(docs, ident, text, capacity)
-    groups = index.where("n > 1").select("key", "n", "keep_id")
     same = rows.groupBy("key", "doc_id").agg(F.count("*").alias("times"))  # repeated rows
-    found = same.join(groups, "key", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
+    found = with_groups(same, index, "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
     keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
@@ -197,8 +209,7 @@ def exact_groups(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY
 def drop_copies(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY) -> DataFrame:
     """docs without the copies, with the columns of docs. Rows of a kept id travel only where the id is repeated."""
     rows, index = build_index(docs, ident, text, capacity)
-    groups = index.where("n > 1").select("key", "keep_id")
-    copied = rows.join(groups, "key").select("key", "doc_id", "keep_id")
+    copied = with_groups(rows, index, "inner")
     dropped = written(copied.where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct(), "dropped")
     twice = written(copied.where(F.col("keep_id").eqNullSafe(F.col("doc_id"))).groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "twice")
     own = F.unhex(F.sha2(fold_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary"), 256))

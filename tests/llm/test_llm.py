@@ -134,7 +134,9 @@ def test_range_coder():
     assert token_files.crc_joined(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
 
-def test_exact(docs, texts):
+@pytest.mark.parametrize("hot", [1, exact.HOT])  # no group is hot, all groups are
+def test_exact(docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(exact, "HOT", hot)
     fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     found = exact.exact_groups(docs).collect()
     groups: dict = {}
