@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.shared import byte_texts, fold_ascii, small_batches, written
@@ -68,18 +68,21 @@ def directory(prefix_counts: np.ndarray, capacity: int) -> np.ndarray:
     return slots
 
 
+def spot_of(key: Column | str) -> Column:
+    """The place of a key in the bit table."""
+    return F.conv(F.substring(F.hex(key), 17, 12), 16, 10).cast("bigint") % F.lit(2**FILTER_BITS)
+
+
+def repeated_pages(keys: DataFrame) -> DataFrame:
+    """page, bits: the bit table of keys with more than one row, at most 2^FILTER_BITS / PAGE pages of 4 KB."""
+    spots = keys.where("n > 1").select(spot_of("key").alias("spot"))
+    return spots.groupBy(F.bitmap_bucket_number("spot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+
+
 def repeated_bits(keys: DataFrame) -> np.ndarray:
-    """The bit table of keys with more than one row, 2^FILTER_BITS bits whatever the input."""
-    spot = F.conv(F.substring(F.hex("key"), 17, 12), 16, 10).cast("bigint") % F.lit(2**FILTER_BITS)
-    pages = (
-        keys.where("n > 1")
-        .select(spot.alias("spot"))
-        .groupBy(F.bitmap_bucket_number("spot").alias("page"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-        .collect()  # at most 2^FILTER_BITS / PAGE pages of 4 KB
-    )
+    """The bit table as one array, 2^FILTER_BITS bits whatever the input."""
     table = np.zeros(2**FILTER_BITS // PAGE + 2, dtype=("u1", PAGE // 8))
-    for page, bits in pages:
+    for page, bits in repeated_pages(keys).collect():
         table[page] = np.frombuffer(bits, np.uint8)
     return table
 
@@ -207,20 +210,26 @@ def exact_groups(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY
 
 
 def drop_copies(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY) -> DataFrame:
-    """docs without the copies, with the columns of docs. Rows of a kept id travel only where the id is repeated."""
+    """docs without the copies, with the columns of docs. A row stays where it is read unless the bit table marks its key."""
     rows, index = build_index(docs, ident, text, capacity)
     copied = with_groups(rows, index, "inner")
     dropped = written(copied.where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")).distinct(), "dropped")
     twice = written(copied.where(F.col("keep_id").eqNullSafe(F.col("doc_id"))).groupBy("key", "doc_id").count().where("count > 1").select(F.col("key").alias("_key"), F.col("doc_id").alias("_id")), "twice")
     own = F.unhex(F.sha2(fold_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary"), 256))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(ident).alias("_own_id"), own.alias("_own_key"))
-    match = lambda other: keyed["_own_key"].eqNullSafe(other["_key"]) & keyed["_own_id"].eqNullSafe(other["_id"])
-    kept = keyed.join(dropped, match(dropped), "left_anti")
+    placed, pages = keyed.withColumn("_spot", spot_of("_own_key")), F.broadcast(repeated_pages(index))
+    bit = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (bit % 8).cast("int")), F.lit(0)) == 1
+    checked = placed.join(pages, F.bitmap_bucket_number("_spot") == F.col("page"), "left").withColumn("_marked", marked)
+    alone, asked = checked.where("NOT _marked").select("row"), checked.where("_marked").select(*keyed.columns)
+    match = lambda other: asked["_own_key"].eqNullSafe(other["_key"]) & asked["_own_id"].eqNullSafe(other["_id"])
+    kept = asked.join(dropped, match(dropped), "left_anti")
     if twice.isEmpty():
-        return kept.select("row.*")
+        return alone.unionByName(kept.select("row")).select("row.*")
     once = kept.join(twice, match(twice), "left_anti").select("row")
     repeated = kept.join(twice, match(twice), "left_semi").dropDuplicates(["_own_key", "_own_id"]).select("row")
-    return once.unionByName(repeated).select("row.*")
+    return alone.unionByName(once).unionByName(repeated).select("row.*")
 
 
 ORACLE_SQL = r"""
