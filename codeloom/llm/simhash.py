@@ -26,9 +26,10 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.exact import repeated_pages, spot_of
 from codeloom.llm.shared import byte_texts, small_batches, written
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -210,14 +211,41 @@ def near_report(docs: DataFrame, ident="doc_id", text="text") -> DataFrame:
     return near_components(docs, ident, text).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_key(text: Column | str) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def marked_rows(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """rows with _marked: whether the bit table of keys has their key. False hits occur; no row leaves its place."""
+    placed, pages = rows.withColumn("_spot", spot_of(key)), F.broadcast(repeated_pages(keys.select("key", F.lit(2).alias("n"))))
+    bit = F.bitmap_bit_position("_spot")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.getbit(byte, (bit % 8).cast("int")), F.lit(0)) == 1
+    return placed.join(pages, F.bitmap_bucket_number("_spot") == F.col("page"), "left").select(*(F.col(f"`{c}`") for c in rows.columns), marked.alias("_marked"))
+
+
+def one_of_each(docs: DataFrame, ident: str, text: str, group) -> DataFrame:
+    """docs with one row of each component that group finds, that of the smallest id; null ids come last.
+
+    A row is named by its id and the SHA-256 of its text, so rows that share an id, or have none, are decided each for itself;
+    of different texts with the smallest id, that of the smaller SHA-256 stays.
+    """
+    own = F.struct(F.col(ident).isNull().alias("no_id"), F.col(ident).alias("id"), text_key(text).alias("key"))
+    found = group(docs.select(own.alias("doc_id"), F.col(text).alias("text")))
+    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    twice = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("_own"))
+    checked = marked_rows(row, F.col("_own.key"), dropped.unionByName(twice).select("_id.key"))
+    alone, asked = checked.where("NOT _marked").select("row"), checked.where("_marked").select("row", "_own")
+    kept = asked.join(dropped, asked["_own"].eqNullSafe(dropped["_id"]), "left_anti")
+    if twice.isEmpty():
+        return alone.unionByName(kept.select("row")).select("row.*")
+    match = kept["_own"].eqNullSafe(twice["_id"])
+    repeated = kept.join(twice, match, "left_semi").dropDuplicates(["_own"]).select("row")
+    return alone.unionByName(kept.join(twice, match, "left_anti").select("row")).unionByName(repeated).select("row.*")
+
+
 def drop_near(docs: DataFrame, ident="doc_id", text="text", shingle=SHINGLE, bits=BITS) -> DataFrame:
     """docs with one row of each component, that of the smallest id, and the columns of docs."""
-    found = near_components(docs, ident, text, shingle, bits)
-    first = written(found.select("doc_id", "component_id").distinct().where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "dropped")
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(ident).alias("_own"))
-    kept = row.join(first, row["_own"].eqNullSafe(first["_id"]), "left_anti")
-    twice = written(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
-    if twice.isEmpty():
-        return kept.select("row.*")
-    match = row["_own"].eqNullSafe(twice["_id"])
-    return kept.join(twice, match, "left_anti").select("row").unionByName(kept.join(twice, match, "left_semi").dropDuplicates(["_own"]).select("row")).select("row.*")
+    return one_of_each(docs, ident, text, lambda named: near_components(named, "doc_id", "text", shingle, bits))

@@ -236,6 +236,13 @@ def test_simhash(docs, texts, spark, monkeypatch):
         assert all(roots.get(f, k) == part.index(part[k]) for k, f in enumerate(prints))
 
 
+def test_drop_near_decides_each_row_for_its_own_text(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, "a lone text"), (None, "another lone text"), (None, long), (1, long.upper()), (2, "two of one id"), (2, "not like it at all"), (3, "twice"), (3, "twice")]
+    kept = sorted(map(str, map(tuple, simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert kept == sorted(map(str, rows[:2] + rows[3:7]))
+
+
 def test_media(docs, texts):
     found = {x.doc_id: x for x in media.media_report(docs).collect()}
     for d, t in texts:
