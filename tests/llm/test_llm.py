@@ -243,6 +243,35 @@ def test_drop_near_decides_each_row_for_its_own_text(spark):
     assert kept == sorted(map(str, rows[:2] + rows[3:7]))
 
 
+@pytest.mark.parametrize("long", [64, 2])  # no list is long, most are
+def test_near_stage_keeps_one_of_similar_texts(spark, monkeypatch, long):
+    from codeloom.llm import similar
+
+    monkeypatch.setattr(similar, "LONG", long)
+    r = random.Random(9)
+    rows = [(None, None), (7, " "), (8, "one two"), (9, "One  two"), (None, "alone")]
+    for k in range(12):  # copies with ever more words changed: similarity from 1 to about 1/2
+        words = [f"w{r.randrange(300)}" for _ in range(120)]
+        for n in range(6):
+            rows.append((100 + 10 * k + n, " ".join(words)))
+            words[r.randrange(120)] = f"v{r.random()}"
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    expected = [min((d is None, d) for (d, _), q in zip(rows, part, strict=True) if q == p)[1] for p in sorted(set(part))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(map(str, expected))
+    assert corpus_pipeline.drop_near(spark, docs.limit(0), SF).count() == 0
+
+
 def test_media(docs, texts):
     found = {x.doc_id: x for x in media.media_report(docs).collect()}
     for d, t in texts:
