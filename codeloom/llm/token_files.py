@@ -35,7 +35,6 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("the file format holds ids under 65,536")
 

@@ -122,6 +122,19 @@ def test_token_files(docs, texts):
     assert token_files.token_file_report(docs.limit(0)).count() == 0
 
 
+def test_token_files_take_special_names_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_files.default_vocabulary())
+    texts = ["end <|endoftext|> of", "<|startoftext|>start", "a<|endoftext|>b<|startoftext|> <|endoftext|>", "plain"]
+    rows = token_files.token_file_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    start = 0
+    for x, t in zip(sorted(rows), texts, strict=True):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_range_coder():
     r = np.random.default_rng(1)
     blocks = [r.integers(0, 65536, n).astype(np.uint16) for n in (1, 5, 700)] + [np.full(900, 7), r.zipf(1.3, 1500) % 49408, np.tile(r.integers(0, 49408, 40), 30)]
