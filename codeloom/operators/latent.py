@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
 WORD = r"[a-zA-Z_][a-zA-Z0-9_]*"
 FEATURES, WIDTH = 5000, 64
+#: Rows of the Gram matrix in a stripe; tasks that add it up, each of which holds one.
+STRIPE, PARTS = 50, 6
 
 
 def vocabulary(counts: DataFrame, n_docs: DataFrame, features: int) -> DataFrame:
@@ -32,6 +33,37 @@ def tfidf(docs: DataFrame, ident: str = "doc_id", text: str = "text", features:
     return weighed.join(norms, "node").select("node", "term", "place", F.round(F.col("w") / F.col("norm"), 9).alias("w"))
 
 
+def stripes(weights: DataFrame, size: int) -> DataFrame:
+    """k, stripe: summands of STRIPE rows of the rows' Gram matrix, made in one pass."""
+
+    def summed(batches):
+        total = None
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                total = np.zeros((size, size)) if total is None else total
+                at, w = np.array([x["place"] for x in row]), np.array([x["w"] for x in row])
+                total[np.ix_(at, at)] += np.outer(w, w)
+        for k in range(0, size if total is not None else 0, STRIPE):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + STRIPE].tobytes()], pa.binary())], names=["k", "stripe"])
+
+    return weights.select("row").coalesce(PARTS).mapInArrow(summed, "k int, stripe binary")
+
+
+def largest_axes(summands: DataFrame, size: int, k: int) -> np.ndarray:
+    """The eigenvectors of the k largest eigenvalues, largest first. One task solves the matrix, whose size `features` bounds."""
+
+    def solved(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            for at, stripe in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[at : at + STRIPE] += np.frombuffer(stripe.as_buffer(), np.float64).reshape(-1, size)
+        _, right = np.linalg.eigh(total)  # smallest values first
+        yield pa.RecordBatch.from_arrays([pa.array([right[:, ::-1][:, :k].tobytes()], pa.binary())], names=["axes"])
+
+    found = summands.repartition(1).mapInArrow(solved, "axes binary").first().axes
+    return np.frombuffer(found, np.float64).reshape(size, k).copy()
+
+
 def embedded(docs: DataFrame, ident: str = "doc_id", text: str = "text", features: int = FEATURES, width: int = WIDTH) -> DataFrame:
     """node, vec: rows of length 1 in the space of the largest singular values; texts without a term have none.
 
@@ -43,9 +75,8 @@ def embedded(docs: DataFrame, ident: str = "doc_id", text: str = "text", feature
     if not there or wide is None:
         return weights.select("node", F.array().cast("array<double>").alias("vec"))
     k = max(1, min(width, wide, there - 1))
-    matrix = RowMatrix(weights.select("row").rdd.map(lambda r: Vectors.sparse(wide + 1, [(x.place, x.w) for x in r.row])))
-    _, right = np.linalg.eigh(matrix.computeGramianMatrix().toArray())  # one pass over the rows; smallest values first
-    axes = docs.sparkSession.sparkContext.broadcast(right[:, ::-1][:, :k].copy())
+    axes = largest_axes(stripes(weights, int(wide) + 1), int(wide) + 1, k)
+    axes = docs.sparkSession.sparkContext.broadcast(axes)
 
     @F.pandas_udf("array<double>")
     def projected(places, values):

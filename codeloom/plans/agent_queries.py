@@ -147,4 +147,4 @@ def tfidf_weights(spark, d):
 
 @query()
 def tfidf_svd(spark, d):
-    return latent.embedded(table(spark, d, "documents"), features=1000)
+    return latent.embedded(table(spark, d, "documents"))

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def test_latent_rows_have_length_one(spark):
     assert latent.embedded(docs.where("doc_id > 4")).count() == 0
 
 
+def test_registered_vectors_have_every_text_of_the_whole_vocabulary(spark, monkeypatch):
+    from codeloom.operators import latent
+    from codeloom.plans import agent_queries
+
+    rows = [(k, "common words all over " + " ".join(f"often{i}" for i in range(1000))) for k in range(3)] + [(9, "seldom rare")]
+    monkeypatch.setattr(agent_queries, "table", lambda s, d, t: spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.node for r in agent_queries.tfidf_svd(spark, "").collect()) == [0, 1, 2, 9]
+    r = np.random.default_rng(4).normal(size=(30, 12))
+    weights = spark.createDataFrame([([(i, float(w)) for i, w in enumerate(row)],) for row in r], "row array<struct<place: int, w: double>>")
+    monkeypatch.setattr(latent, "STRIPE", 5)
+    axes = latent.largest_axes(latent.stripes(weights.repartition(3), 12), 12, 4)
+    assert np.allclose(np.abs(axes.T @ np.linalg.eigh(r.T @ r)[1][:, ::-1][:, :4]), np.eye(4), atol=1e-8)
+
+
 def test_priority_keeps_initial_queries(spark):
     rows = [(1, k, "current_query", f"a_{k}", 1.0) for k in range(20)] + [(1, 30, "initial_behavior", "slow words", 0.2), (1, 31, "initial_behavior", "A_1", 0.2)]
     found = ranking.priority_queries(spark.createDataFrame(rows, "instance int, ord int, `group` string, query string, weight double")).orderBy("place").collect()
