@@ -73,3 +73,17 @@ def small_batches(batches, rows: int = 1024):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def sized_batches(batches, column: int, size: int, rows: int = 1024):
+    """Arrow batches of at most so many rows and about so many bytes in a string or binary column; a longer value stands alone."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        a = held = 0
+        for k, n in enumerate(lengths.tolist()):
+            if k > a and (held + n > size or k - a >= rows):
+                yield batch.slice(a, k - a)
+                a, held = k, 0
+            held += n
+        if batch.num_rows > a:
+            yield batch.slice(a)

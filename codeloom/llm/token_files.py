@@ -1,13 +1,16 @@
 """Token-id files: texts are encoded, packed into compressed blocks in the order of their ids, and read back.
 
-Texts are dealt to ranges of doc_id and sorted; a part's ids, an end id after each text, go to blocks of BLOCK ids
-(`range_coder`). A text isn't spread over blocks unless it is longer than one. The file is a parquet table with a
-row for each block: part, block, the texts in it (place in the part, doc_id, ids in this block, whether whole) and the
-block's bytes with a checksum, so parts commit like any Spark output and a block can be read alone.
-
-The tokenizer drops white space and looks at no neighbour across it, so a text is cut at ASCII white space, and each worker
-encodes a word that it has met before from memory. Defined results: null and empty texts have the end id only; null
-doc_ids come first; repeated rows follow one another; an empty table gives an empty file; other columns are ignored.
+Texts are dealt to ranges of (doc_id, hash of the text) and sorted; a part's ids, an end id after each text, go to blocks of BLOCK
+ids. A text isn't spread over blocks unless it is longer than one. The file is a parquet table with a row for each block: part,
+block, the texts in it (place in the part, doc_id, piece, ids in this block, where they begin, whether whole) and the block's bytes with a
+checksum, so parts commit like any Spark output and a block can be read alone. `TokenBlocks.java` codes and decodes a block:
+adaptive mixing of order-0 to order-2 predictions and a range coder. It is sequential work of some 16 dependent decisions an id, which numpy
+takes several times as long for, so it runs as a Java function inside Spark's own stages.
+
+The tokenizer drops white space and looks at no neighbour across it, so texts are cut at ASCII white space and each different word
+of a batch is encoded once. Words go to the library in runs, divided by a word of one known id. Defined results: null and
+empty texts have the end id only; null doc_ids come first; rows that share an id follow one another by the hash of their text, then the text,
+so reruns agree; repeated rows follow one another; an empty table gives an empty file; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,40 +20,65 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codeloom.llm.range_coder import BLOCK, LANES, packed, unpacked
-from codeloom.llm.shared import byte_texts, small_batches, written
+from codeloom.llm.jvm import register_functions
+from codeloom.llm.shared import sized_batches, small_batches, written
 
-END = 2
-REMEMBERED, LONG_WORD = 300_000, 48
+END, BLOCK = 2, 16384
+#: The word that stands between others, and how many words are handed to the library at once.
+BETWEEN, RUN = "\x01", 1000
 
 
-class Words(dict):
-    """Word to its ids as little-endian 16-bit numbers. Forgets all when it's full."""
+class Words:
+    """Texts to their ids as little-endian 16-bit numbers."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("the file format holds ids under 65,536")
-
-    def look_up(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, "<u2").tobytes()
-
-    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        self.look_up({w for words in split for w in words})
-        end = np.array([END], "<u2").tobytes()
-        return [np.frombuffer(b"".join([*map(self.__getitem__, words), end]), "<u2") for words in split]
+        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        if len(self.between) != 1:
+            raise ValueError("the word between words has to be one id")
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word where its ids begin and how many they are. A word that holds BETWEEN is encoded by itself."""
+        alone = pc.match_substring(words, BETWEEN).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~alone))
+        spans = [plain.slice(k, RUN) for k in range(0, len(plain), RUN)]
+        runs = [f" {BETWEEN} ".join(run.to_pylist()) + f" {BETWEEN}" for run in spans]
+        coded = [np.array(e.ids, np.uint32).astype("<u2") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        store = np.concatenate([*coded, np.zeros(0, "<u2")])
+        cuts = np.flatnonzero(store == self.between[0])
+        if len(cuts) != len(plain):
+            raise ValueError("the words of a run can't be told apart")
+        starts, ends = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[~alone], ends[~alone] = np.concatenate([[0], cuts[:-1] + 1])[: len(cuts)], cuts
+        more = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2") for w in words.filter(pa.array(alone)).to_pylist()]
+        if more:
+            sizes = np.array(list(map(len, more)))
+            ends[alone] = len(store) + np.cumsum(sizes)
+            starts[alone] = ends[alone] - sizes
+            store = np.concatenate([store, *more])
+        return store, starts, ends - starts
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, the end id after each, and n + 1 offsets of them."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        coded = pc.list_flatten(split).dictionary_encode()
+        store, starts, sizes = self.of_words(coded.dictionary)
+        word = coded.indices.to_numpy().astype(np.int64)
+        # A text is its words (white space alone splits to empty ones, of no ids) and the end, which is one more word.
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        word = np.insert(word, ends, len(sizes))
+        starts, sizes = np.append(starts, len(store))[word], np.append(sizes, 1)[word]
+        total = np.cumsum(sizes)
+        ids = np.append(store, END).astype("<u2")[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.concatenate([[0], total[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
 
 
 @cache
@@ -95,71 +123,63 @@ def write_ids(docs: DataFrame, ident="doc_id", text="text", path: str | None = N
     plain = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     id_type = plain.schema["doc_id"].dataType.simpleString()
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pack(batches):
-        words, part = words_of(path), TaskContext.get().partitionId()
-        blocks, entries, made, place, kind = [], [], 0, 0, None
-        fill: list = []
-        filled = 0
-
-        def close():
-            nonlocal fill, filled
-            if fill:
-                entries.append([e for e, _ in fill])
-                blocks.append(np.concatenate([x for _, x in fill]))
-                fill, filled = [], 0
-
-        def flush():
-            nonlocal made
-            columns = [pa.array([part] * len(blocks), pa.int32()), pa.array(range(made, made + len(blocks)), pa.int64())]
-            for k, t in enumerate((pa.int64(), kind, pa.int32(), pa.int32(), pa.bool_())):
-                columns.append(pa.array([[e[k] for e in of] for of in entries], pa.list_(t)))
-            columns.append(pa.array(packed(blocks), pa.binary()))
-            made += len(blocks)
-            blocks.clear()
-            entries.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["part", "block", "places", "doc_ids", "pieces", "counts", "whole", "bytes"])
-
-        for batch in small_batches(batches, 256):
-            kind = batch.schema.field(0).type
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encoded(byte_texts(batch.column(1))), strict=True):
-                if filled + len(ids) > BLOCK:
-                    close()
-                for piece, a in enumerate(range(0, len(ids), BLOCK)):
-                    cut = ids[a : a + BLOCK]
-                    fill.append(((place, doc_id, piece, len(cut), len(ids) <= BLOCK), cut))
-                    filled += len(cut)
-                    if len(ids) > BLOCK:
-                        close()
+    register_functions(docs.sparkSession)
+
+    def blocks_of(batches):
+        words, part, made, place = words_of(path), TaskContext.get().partitionId(), 0, 0
+        fill: list = []  # (place, doc_id, piece, ids, begin, whole) of the open block
+        held: list = []
+        for batch in sized_batches(batches, 1, 4 << 20):
+            ids, ends = words.encoded(batch.column(1))
+            kinds = (pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            done = []
+            for doc_id, a, z in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                whole = z - a <= BLOCK
+                for piece, x in enumerate(range(a, z, BLOCK)):
+                    n = min(z - x, BLOCK)
+                    begin = fill[-1][3] + fill[-1][4] if fill else 0
+                    if begin + n > BLOCK:
+                        done.append((fill, held))
+                        fill, held, begin = [], [], 0
+                    fill.append((place, doc_id, piece, n, begin, whole))
+                    held.append(ids[x : x + n])
                 place += 1
-            while len(blocks) >= LANES:
-                yield flush()
-        close()
-        if blocks:
-            yield flush()
+            if done:
+                yield block_batch(part, made, done, kinds)
+                made += len(done)
+        if fill:
+            yield block_batch(part, made, [(fill, held)], kinds)
+
+    schema = f"part int, block long, {', '.join(f'{c} array<{t}>' for c, t in zip(COLUMNS, ('long', id_type, 'int', 'int', 'int', 'boolean'), strict=True))}, ids binary"
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("text").asc_nulls_first()]
+    ordered = plain.withColumn("hash", F.xxhash64("text")).repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    made = ordered.select("doc_id", "text").mapInArrow(blocks_of, schema)
+    return written(made.withColumn("bytes", F.expr("codeloom_pack_ids(ids)")).drop("ids"), "token_ids")
+
 
-    schema = f"part int, block long, places array<long>, doc_ids array<{id_type}>, pieces array<int>, counts array<int>, whole array<boolean>, bytes binary"
-    ordered = plain.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return written(ordered.mapInArrow(pack, schema), "token_ids")
+COLUMNS = ("places", "doc_ids", "pieces", "counts", "begins", "whole")
+
+
+def block_batch(part: int, made: int, blocks: list, kinds) -> pa.RecordBatch:
+    columns = [pa.array([part] * len(blocks), pa.int32()), pa.array(range(made, made + len(blocks)), pa.int64())]
+    for k, t in enumerate(kinds):
+        columns.append(pa.array([[e[k] for e in fill] for fill, _ in blocks], pa.list_(t)))
+    columns.append(pa.array([b"".join(x.tobytes() for x in held) for _, held in blocks], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "block", *COLUMNS, "ids"])
 
 
 def read_ids(file: DataFrame) -> DataFrame:
     """part, place, doc_id, piece, whole, n, crc: the ids of each text in each block, decoded and summed up."""
-    id_type = file.schema["doc_ids"].dataType.elementType.simpleString()
-
-    def unpack(batches):
-        for batch in small_batches(batches, LANES):
-            part, places, doc_ids, pieces, counts, whole, blobs = (batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7))
-            rows = []
-            for k, ids in enumerate(unpacked(blobs)):
-                raw, at = memoryview(ids.astype("<u4").tobytes()), 0
-                for place, doc_id, piece, n, all_of_it in zip(places[k], doc_ids[k], pieces[k], counts[k], whole[k], strict=True):
-                    rows.append((part[k], place, doc_id, piece, all_of_it, n, zlib.crc32(raw[at * 4 : (at + n) * 4])))
-                    at += n
-            kinds = (pa.int32(), pa.int64(), batch.schema.field(3).type.value_type, pa.int32(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "place", "doc_id", "piece", "whole", "n", "crc"])
-
-    return file.mapInArrow(unpack, f"part int, place long, doc_id {id_type}, piece int, whole boolean, n long, crc long")
+    register_functions(file.sparkSession)
+    entry = F.transform(
+        F.arrays_zip(*COLUMNS),
+        lambda e: F.struct(
+            e["places"].alias("place"), e["doc_ids"].alias("doc_id"), e["pieces"].alias("piece"), e["whole"].alias("whole"), e["counts"].cast("long").alias("n"),
+            F.crc32(F.substring(F.col("ids"), e["begins"] * 4 + 1, e["counts"] * 4)).alias("crc"),
+        ),
+    )
+    decoded = file.select("part", *COLUMNS, F.expr("codeloom_unpack_ids(bytes)").alias("ids"))
+    return decoded.select("part", F.explode(entry).alias("e")).select("part", "e.*")
 
 
 def token_file_report(docs: DataFrame, ident="doc_id", text="text", path: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from codeloom.llm import exact, langid, media, mixing, quality, queries, range_coder, secrets, simhash, token_files, tokens, urls
+from codeloom.llm import exact, langid, media, mixing, quality, queries, secrets, simhash, token_files, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 LONG = "word and another " * 4000
@@ -112,16 +112,42 @@ def test_gradients():
 
 
 def test_token_files(docs, texts):
-    words = token_files.words_of(token_files.default_vocabulary())
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_files.default_vocabulary())
     start = 0
     found = sorted((tuple(r) for r in token_files.token_file_report(docs).collect()), key=lambda r: r[1])
     for (doc_id, at, n, crc), (d, t) in zip(found, sorted(texts, key=lambda x: (x[0] is not None, x[0])), strict=True):
-        ids = [*words.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         assert (doc_id, at, n, crc) == (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += n
     assert token_files.token_file_report(docs.limit(0)).count() == 0
 
 
+def test_token_files_of_hostile_texts(spark):
+    """Separators of the run, special names, marks that combine, other white space, a text of many blocks, one id for many texts."""
+    from tokenizers import Tokenizer
+
+    library, r = Tokenizer.from_file(token_files.default_vocabulary()), random.Random(3)
+    alphabet = ["\x01", " \x01 ", " ", "\t\n", "\u0301", "e\u0301", "\u00a0", "\u2028", "\x1c", "\x85", "İ", "Σ", "ς", "don't", "I'LL", "<|endoftext|>", "<|startoftext|>", "9", "!?", "漢", "😀", "word", "A", "\0", "</w>"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(12))) for _ in range(600)] + ["many words in a row " * 20000]
+    rows = [(k // 3 if k < 300 else 7 if k < 500 else None, t) for k, t in enumerate(texts)]
+    report = token_files.token_file_report(spark.createDataFrame(rows, "doc_id int, text string"))
+    found, again = ([tuple(x) for x in report.orderBy("start").collect()] for _ in range(2))
+    assert found == again and report.schema["doc_id"].dataType.simpleString() == "int"
+    expected = {}
+    for d, t in rows:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        expected.setdefault(d, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got, start = {}, 0
+    for d, at, n, crc in found:
+        assert at == start
+        start += n
+        got.setdefault(d, []).append((n, crc))
+    assert {d: sorted(x) for d, x in expected.items()} == {d: sorted(x) for d, x in got.items()}
+    assert [d for d, *_ in found] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+
+
 def test_token_files_take_special_names_as_the_library_does(spark):
     from tokenizers import Tokenizer
 
@@ -135,15 +161,22 @@ def test_token_files_take_special_names_as_the_library_does(spark):
         start += len(ids)
 
 
-def test_range_coder():
+def test_token_blocks(spark):
+    from codeloom.llm.jvm import register_functions
+
+    register_functions(spark)
     r = np.random.default_rng(1)
-    blocks = [r.integers(0, 65536, n).astype(np.uint16) for n in (1, 5, 700)] + [np.full(900, 7), r.zipf(1.3, 1500) % 49408, np.tile(r.integers(0, 49408, 40), 30)]
-    made = range_coder.packed(blocks)
-    assert all((a == b).all() for a, b in zip(blocks, range_coder.unpacked(made), strict=True))
-    assert [range_coder.packed([b])[0] for b in blocks] == made  # a block's bytes don't depend on its neighbours
-    assert len(made[3]) < 120
-    with pytest.raises(ValueError):
-        range_coder.unpacked([made[4][:40] + bytes([made[4][40] ^ 1]) + made[4][41:]])
+    blocks = [r.integers(0, 65536, n) for n in (0, 1, 5, 20000)] + [np.full(9000, 7), r.zipf(1.3, 1500) % 49408, np.tile(r.integers(0, 49408, 40), 30)]
+    rows = [(k, bytearray(b.astype("<u2").tobytes())) for k, b in enumerate(blocks)] * 40  # a model is used for many blocks
+    made = spark.createDataFrame(rows, "k int, ids binary").selectExpr("k", "codeloom_pack_ids(ids) AS bytes").cache()
+    per = {x.k: bytes(x.bytes) for x in made.collect()}
+    assert all(per[x.k] == bytes(x.bytes) for x in made.collect())  # a block's bytes don't depend on the blocks before it
+    for x in made.selectExpr("k", "codeloom_unpack_ids(bytes) AS ids").collect():
+        assert bytes(x.ids) == blocks[x.k].astype("<u4").tobytes()
+    assert len(per[4]) < 120 and len(per[6]) < 500 and len(per[3]) < 2.2 * len(blocks[3])
+    for bad in (b"", per[5][:8], b"x" + per[5][1:], per[5][:40] + bytes([per[5][40] ^ 1]) + per[5][41:], per[5][:-40]):
+        with pytest.raises(Exception, match="block of token ids"):
+            spark.createDataFrame([(bytearray(bad),)], "b binary").selectExpr("codeloom_unpack_ids(b) AS ids").collect()
     assert token_files.crc_joined(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
 
