@@ -30,8 +30,8 @@ from codeloom.llm.jvm import register_functions
 from codeloom.llm.shared import sized_batches, small_batches, written
 
 END, BLOCK = 2, 16384
-#: The word that stands between others, and how many words are handed to the library at once.
-BETWEEN, RUN = "\x01", 1000
+#: The word that stands between others, how many words are handed to the library at once, and how many a worker remembers.
+BETWEEN, RUN, REMEMBERED = "\x01", 400, 600_000
 
 
 class Words:
@@ -44,6 +44,29 @@ class Words:
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         if len(self.between) != 1:
             raise ValueError("the word between words has to be one id")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.store = pa.array([], pa.large_string()), np.zeros(0, "<u2")
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Where the words stand among the known ones. New ones are encoded; where they are too many, all others are forgotten."""
+        at = pc.index_in(words, self.known)
+        if len(self.known) + at.null_count > max(REMEMBERED, len(words)):
+            self.forget()
+            at = pc.index_in(words, self.known)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            store, starts, sizes = self.of_words(new)
+            first = len(self.known)
+            self.starts, self.sizes = np.append(self.starts, starts + len(self.store)), np.append(self.sizes, sizes)
+            self.known, self.store = pa.concat_arrays([self.known, new]), np.append(self.store, store)
+            missing = at.is_null().to_numpy(zero_copy_only=False)
+            at = at.fill_null(0).to_numpy().astype(np.int64)
+            at[missing] = first + np.arange(len(new))
+            return at
+        return at.to_numpy().astype(np.int64)
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each word where its ids begin and how many they are. A word that holds BETWEEN is encoded by itself."""
@@ -70,14 +93,13 @@ class Words:
         """All ids of the texts, the end id after each, and n + 1 offsets of them."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = pc.list_flatten(split).dictionary_encode()
-        store, starts, sizes = self.of_words(coded.dictionary)
-        word = coded.indices.to_numpy().astype(np.int64)
+        word = self.learn(coded.dictionary)[coded.indices.to_numpy()]
         # A text is its words (white space alone splits to empty ones, of no ids) and the end, which is one more word.
         ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
-        word = np.insert(word, ends, len(sizes))
-        starts, sizes = np.append(starts, len(store))[word], np.append(sizes, 1)[word]
+        word = np.insert(word, ends, len(self.sizes))
+        starts, sizes = np.append(self.starts, len(self.store))[word], np.append(self.sizes, 1)[word]
         total = np.cumsum(sizes)
-        ids = np.append(store, END).astype("<u2")[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+        ids = np.append(self.store, END).astype("<u2")[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
         return ids, np.concatenate([[0], total[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
 
 
