@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,11 @@ from codeloom.llm.jvm import register_functions
 from codeloom.llm.shared import sized_batches, small_batches, written
 
 END, BLOCK = 2, 16384
-#: The word that stands between others, how many words are handed to the library at once, and how many a worker remembers.
-BETWEEN, RUN, REMEMBERED = "\x01", 400, 600_000
+#: The piece that stands between others, how many pieces are handed to the library at once, how many a worker remembers, and bytes of text at once.
+BETWEEN, RUN, REMEMBERED, BYTES = "\x01", 400, 600_000, 8 << 20
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word's end of punctuation without apostrophes, after a letter of long standing, is a piece of its own: the tokenizer cuts there.
+TAILED = r"^(?P<stem>.*[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{3B1}-\x{3C9}\x{410}-\x{44F}\x{4E00}-\x{9FA5}])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
 
 
 class Words:
@@ -43,45 +47,42 @@ class Words:
             raise ValueError("the file format holds ids under 65,536")
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         if len(self.between) != 1:
-            raise ValueError("the word between words has to be one id")
+            raise ValueError("the piece between pieces has to be one id")
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.store = pa.array([], pa.large_string()), np.zeros(0, "<u2")
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.store, self.starts, self.sizes = np.zeros(0, "<u2"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: pa.Array) -> np.ndarray:
-        """Where the words stand among the known ones. New ones are encoded; where they are too many, all others are forgotten."""
-        at = pc.index_in(words, self.known)
-        if len(self.known) + at.null_count > max(REMEMBERED, len(words)):
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Where the pieces stand among the known ones. New ones are encoded; where they are too many, all others are forgotten."""
+        found = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(self.known) + (found < 0).sum() > max(REMEMBERED, len(pieces)):
             self.forget()
-            at = pc.index_in(words, self.known)
-        if at.null_count:
-            new = words.filter(at.is_null())
-            store, starts, sizes = self.of_words(new)
-            first = len(self.known)
+            found[:] = -1
+        places = np.flatnonzero(found < 0)
+        if len(places):
+            new, first = [pieces[k] for k in places.tolist()], len(self.known)
+            store, starts, sizes = self.of_pieces(new)
             self.starts, self.sizes = np.append(self.starts, starts + len(self.store)), np.append(self.sizes, sizes)
-            self.known, self.store = pa.concat_arrays([self.known, new]), np.append(self.store, store)
-            missing = at.is_null().to_numpy(zero_copy_only=False)
-            at = at.fill_null(0).to_numpy().astype(np.int64)
-            at[missing] = first + np.arange(len(new))
-            return at
-        return at.to_numpy().astype(np.int64)
-
-    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and for each word where its ids begin and how many they are. A word that holds BETWEEN is encoded by itself."""
-        alone = pc.match_substring(words, BETWEEN).to_numpy(zero_copy_only=False)
-        plain = words.filter(pa.array(~alone))
-        spans = [plain.slice(k, RUN) for k in range(0, len(plain), RUN)]
-        runs = [f" {BETWEEN} ".join(run.to_pylist()) + f" {BETWEEN}" for run in spans]
+            self.store = np.append(self.store, store)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            found[places] = first + np.arange(len(new))
+        return found
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its ids begin and how many they are. A piece that holds BETWEEN is encoded by itself."""
+        alone = np.array([BETWEEN in x for x in pieces], bool)
+        plain = [x for x in pieces if BETWEEN not in x]
+        runs = [f" {BETWEEN} ".join(plain[k : k + RUN]) + f" {BETWEEN}" for k in range(0, len(plain), RUN)]
         coded = [np.array(e.ids, np.uint32).astype("<u2") for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         store = np.concatenate([*coded, np.zeros(0, "<u2")])
         cuts = np.flatnonzero(store == self.between[0])
         if len(cuts) != len(plain):
-            raise ValueError("the words of a run can't be told apart")
-        starts, ends = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            raise ValueError("the pieces of a run can't be told apart")
+        starts, ends = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         starts[~alone], ends[~alone] = np.concatenate([[0], cuts[:-1] + 1])[: len(cuts)], cuts
-        more = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u2") for w in words.filter(pa.array(alone)).to_pylist()]
+        more = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u2") for x in pieces if BETWEEN in x]
         if more:
             sizes = np.array(list(map(len, more)))
             ends[alone] = len(store) + np.cumsum(sizes)
@@ -93,11 +94,25 @@ class Words:
         """All ids of the texts, the end id after each, and n + 1 offsets of them."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = pc.list_flatten(split).dictionary_encode()
-        word = self.learn(coded.dictionary)[coded.indices.to_numpy()]
-        # A text is its words (white space alone splits to empty ones, of no ids) and the end, which is one more word.
-        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
-        word = np.insert(word, ends, len(self.sizes))
-        starts, sizes = np.append(self.starts, len(self.store))[word], np.append(self.sizes, 1)[word]
+        words = coded.dictionary
+        # A name of a special token is read in its own case; all else is lower-cased by the tokenizer anyhow.
+        special = pc.match_substring(words, "<|")
+        plain = pc.if_else(special, words, pc.ascii_lower(words))
+        trimmed = pc.binary_length(pc.utf8_rtrim(plain, PUNCTUATION)).to_numpy() < pc.binary_length(plain).to_numpy()
+        some = np.flatnonzero(trimmed & ~special.to_numpy(zero_copy_only=False))
+        parts = pc.extract_regex(plain.take(pa.array(some)), TAILED)
+        some, parts = some[parts.is_valid().to_numpy(zero_copy_only=False)], parts.drop_null()
+        stems = pc.replace_with_mask(plain, pa.array(np.isin(np.arange(len(words)), some)), pc.struct_field(parts, 0))
+        pieces = pa.concat_arrays([stems, pc.struct_field(parts, 1), pa.array([""], pa.large_string())]).dictionary_encode()
+        known = self.learn(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
+        piece = np.full((len(words), 2), known[-1])
+        piece[:, 0], piece[some, 1] = known[: len(words)], known[len(words) : -1]
+        # A text is its words' stems and tails (white space alone splits to empty ones, of no ids) and the end, which is one more piece.
+        word = coded.indices.to_numpy()
+        both = piece[word].reshape(-1)
+        ends = 2 * (split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0])
+        both = np.insert(both, ends, len(self.sizes))
+        starts, sizes = np.append(self.starts, len(self.store))[both], np.append(self.sizes, 1)[both]
         total = np.cumsum(sizes)
         ids = np.append(self.store, END).astype("<u2")[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
         return ids, np.concatenate([[0], total[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
@@ -151,7 +166,7 @@ def write_ids(docs: DataFrame, ident="doc_id", text="text", path: str | None = N
         words, part, made, place = words_of(path), TaskContext.get().partitionId(), 0, 0
         fill: list = []  # (place, doc_id, piece, ids, begin, whole) of the open block
         held: list = []
-        for batch in sized_batches(batches, 1, 4 << 20):
+        for batch in sized_batches(batches, 1, BYTES, 8192):
             ids, ends = words.encoded(batch.column(1))
             kinds = (pa.int64(), batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.bool_())
             done = []

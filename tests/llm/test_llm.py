@@ -129,8 +129,8 @@ def test_token_files_of_hostile_texts(spark):
     from tokenizers import Tokenizer
 
     library, r = Tokenizer.from_file(token_files.default_vocabulary()), random.Random(3)
-    alphabet = ["\x01", " \x01 ", " ", "\t\n", "\u0301", "e\u0301", "\u00a0", "\u2028", "\x1c", "\x85", "İ", "Σ", "ς", "don't", "I'LL", "<|endoftext|>", "<|startoftext|>", "9", "!?", "漢", "😀", "word", "A", "\0", "</w>"]
-    texts = ["".join(r.choices(alphabet, k=r.randrange(12))) for _ in range(600)] + ["many words in a row " * 20000]
+    alphabet = ["\x01", " \x01 ", " ", "\t\n", "\u0301", "e\u0301", "\u00a0", "\u2028", "\x1c", "\x85", "İ", "Σ", "ς", "don't", "I'LL", "<|endoftext|>", "<|startoftext|>", "9", "!?", "漢", "😀", "word", "A", "\0", "</w>", "Word,", "naïve...", "x<|", "|>", "end'.", "漢。", "ß)", "е́;", "<|ENDOFTEXT|>", "<", "\u0338"]
+    texts = ["".join(r.choices(alphabet, k=r.randrange(12))) for _ in range(900)] + ["many words in a row " * 20000]
     rows = [(k // 3 if k < 300 else 7 if k < 500 else None, t) for k, t in enumerate(texts)]
     report = token_files.token_file_report(spark.createDataFrame(rows, "doc_id int, text string"))
     found, again = ([tuple(x) for x in report.orderBy("start").collect()] for _ in range(2))
@@ -166,14 +166,14 @@ def test_token_blocks(spark):
 
     register_functions(spark)
     r = np.random.default_rng(1)
-    blocks = [r.integers(0, 65536, n) for n in (0, 1, 5, 20000)] + [np.full(9000, 7), r.zipf(1.3, 1500) % 49408, np.tile(r.integers(0, 49408, 40), 30)]
+    blocks = [r.integers(0, 65536, n) for n in (0, 1, 5, 16384)] + [np.full(9000, 7), r.zipf(1.3, 1500) % 49408, np.tile(r.integers(0, 49408, 40), 30)]
     rows = [(k, bytearray(b.astype("<u2").tobytes())) for k, b in enumerate(blocks)] * 40  # a model is used for many blocks
     made = spark.createDataFrame(rows, "k int, ids binary").selectExpr("k", "codeloom_pack_ids(ids) AS bytes").cache()
     per = {x.k: bytes(x.bytes) for x in made.collect()}
     assert all(per[x.k] == bytes(x.bytes) for x in made.collect())  # a block's bytes don't depend on the blocks before it
     for x in made.selectExpr("k", "codeloom_unpack_ids(bytes) AS ids").collect():
         assert bytes(x.ids) == blocks[x.k].astype("<u4").tobytes()
-    assert len(per[4]) < 120 and len(per[6]) < 500 and len(per[3]) < 2.2 * len(blocks[3])
+    assert len(per[4]) < 120 and len(per[6]) < 500 and len(per[3]) < 2.3 * len(blocks[3])
     for bad in (b"", per[5][:8], b"x" + per[5][1:], per[5][:40] + bytes([per[5][40] ^ 1]) + per[5][41:], per[5][:-40]):
         with pytest.raises(Exception, match="block of token ids"):
             spark.createDataFrame([(bytearray(bad),)], "b binary").selectExpr("codeloom_unpack_ids(b) AS ids").collect()
