@@ -32,7 +32,7 @@ from codeloom.llm.shared import sized_batches, small_batches, written
 
 END, BLOCK = 2, 16384
 #: The piece that stands between others, how many pieces are handed to the library at once, how many a worker remembers, and bytes of text at once.
-BETWEEN, RUN, REMEMBERED, BYTES = "\x01", 400, 600_000, 8 << 20
+BETWEEN, RUN, REMEMBERED, BYTES = "\x01", 400, 400_000, 4 << 20
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A word's end of punctuation without apostrophes, after a letter of long standing, is a piece of its own: the tokenizer cuts there.
 TAILED = r"^(?P<stem>.*[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{3B1}-\x{3C9}\x{410}-\x{44F}\x{4E00}-\x{9FA5}])(?P<tail>[!-&(-/:-@\[-`{-~]+)$"
