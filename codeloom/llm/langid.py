@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import byte_buffer, crc_mod, small_batches, unit_hash
+from codeloom.llm.shared import byte_buffer, crc_mod, sized_batches, unit_hash
 
 FOLDS, HELD_OUT = 4, 2
-PER_LANGUAGE, PIECES, MOST_LANGUAGES = 400, 3, 64
+TEXTS, PER_LANGUAGE, PIECES = 25600, 400, 3
 SPAN, LANES, HIDDEN = 128, 2048, 8
 STEPS, TRAIN_LANES, TRAIN_SPAN, RATE, SEED = 260, 192, 64, 0.02, 11
 
@@ -116,7 +116,7 @@ class Network:
         by_label = [np.flatnonzero(labels == k) for k in range(len(self.labels))]
         first, second = ([np.zeros_like(w) for w in self.arrays()] for _ in range(2))
         for step in range(1, STEPS + 1):
-            label = np.arange(TRAIN_LANES) % len(self.labels)
+            label = (np.arange(TRAIN_LANES) + (step - 1) * TRAIN_LANES) % len(self.labels)
             x, valid = np.zeros((TRAIN_SPAN, TRAIN_LANES), np.uint8), np.zeros((TRAIN_SPAN, TRAIN_LANES), np.float32)
             for lane, k in enumerate(label):
                 text = windows[r.choice(by_label[k])]
@@ -155,14 +155,21 @@ class Network:
 def training_texts(docs: DataFrame) -> tuple[list, list[bytes], np.ndarray]:
     """The labels, windows and their label numbers: a hash of the id picks at most PER_LANGUAGE texts of a language."""
     usable = docs.where((crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    common = usable.groupBy("lang").count().orderBy("lang").collect()  # a row for each language: the network has an output for each
     if not common:
         return [], [], np.zeros(0, np.int64)
+    most = max(4, min(PER_LANGUAGE, TEXTS // len(common)))
     drawn = unit_hash(F.col("doc_id"), "lang")
-    share = F.create_map(*(F.lit(v) for lang, n in common for v in (lang, min(1.0, 0.9 * PER_LANGUAGE / n if n > PER_LANGUAGE else 1.0))))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 0.9 * most / n) if n > most else 1.0) for lang, n in common], "lang string, share double")
     wide = 4 * TRAIN_SPAN
     spots = [F.substring("text", F.lit(1) + (F.greatest(F.char_length("text") - wide, F.lit(0)) * (k / max(1, PIECES - 1))).cast("int"), F.lit(wide)) for k in range(PIECES)]
-    rows = usable.where(drawn < share[F.col("lang")]).select("lang", drawn.alias("drawn"), F.array(*spots).alias("cuts")).orderBy("drawn", "lang", "cuts").limit(PER_LANGUAGE * len(common)).collect()
+    picked = usable.join(F.broadcast(shares), "lang").where((drawn < F.col("share")) | (F.col("share") >= 1))
+    # A language whose draw is empty, as it can be for a few hundred texts and a small share, is taken by its smallest hash.
+    rows = picked.select("lang", drawn.alias("drawn"), F.array(*spots).alias("cuts")).orderBy("drawn", "lang", "cuts").limit(PER_LANGUAGE * max(TEXTS // PER_LANGUAGE, len(common))).collect()
+    missing = sorted({r["lang"] for r in common} - {r["lang"] for r in rows})
+    if missing:
+        first = usable.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in missing], "lang string")), "lang").groupBy("lang").agg(F.min(F.struct(drawn.alias("drawn"), F.array(*spots).alias("cuts"))).alias("one"))
+        rows += first.select("lang", "one.*").collect()
     names = sorted({r["lang"] for r in rows})
     windows = [(cut.encode(), names.index(r["lang"])) for r in rows for cut in dict.fromkeys(r["cuts"])]
     return names, [w for w, _ in windows], np.array([k for _, k in windows], np.int64)
@@ -177,7 +184,7 @@ def language_report(docs: DataFrame, ident="doc_id", text="text", lang="lang") -
 
     def label(batches):
         network = known.value
-        for batch in small_batches(batches):
+        for batch in sized_batches(batches, 2, 4 << 20):
             if network is None:
                 pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:

@@ -7,9 +7,10 @@ score are learnt together from the labels of whole texts, by Adam in numpy on th
 labelled texts of each class, with at most BAG passages of each, spread over the text. Scoring uses every passage.
 
 Learning uses only rows whose crc32(id) modulo FOLDS isn't HELD_OUT; ids with contradicting labels are left
-out. Defined results: null and empty texts have one empty passage and the score that it gets; without both classes
+out; of different texts with one id that of the smallest hash is learnt from. Texts are worked through in runs of BLOCK bytes, so a very long one
+costs no more memory than others; it is cut between passages. Defined results: null and empty texts have one empty passage and the score that it gets; without both classes
 to learn from, every score is the share of label 1 (0.5 without labels); rows with a null id are scored;
-repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated results; an empty table gives an empty result; other columns, whatever their names, are ignored (`keep_good` keeps them).
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import byte_buffer, crc_mod, small_batches, unit_hash
+from codeloom.llm.shared import byte_buffer, crc_mod, sized_batches, unit_hash
 
 FOLDS, HELD_OUT = 3, 1
-PASSAGE, PER_CLASS, BAG = 512, 1500, 16
+PASSAGE, PER_CLASS, BAG, BLOCK = 512, 1500, 16, 512 * 1024
 HIDDEN, GATE, EPOCHS, BATCH, RATE, SEED, DECAY = 16, 8, 24, 128, 0.01, 5, 1e-4
 KINDS = 24
 
@@ -93,6 +94,23 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 FEATURES = KINDS + 25 + 6 + 1
 
 
+def all_passages(data: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """passages() of texts of any length, in runs of about `block` bytes: a longer text is cut between passages."""
+    size = np.diff(offsets)
+    per = np.maximum(1, -(-size // block))
+    text = np.repeat(np.arange(len(size)), per)
+    begin = offsets[text] + (np.arange(len(text)) - np.repeat(per.cumsum() - per, per)) * block
+    ends, found, k = np.append(begin[1:], offsets[-1]), [], 0
+    while k < len(text):
+        z = max(k + 1, int(np.searchsorted(ends, begin[k] + block, "right")))
+        x, own = passages(data[begin[k] : ends[z - 1]], np.append(begin[k:z], ends[z - 1]) - begin[k])
+        found.append((x, text[k:z][own]))
+        k = z
+    if not found:
+        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([own for _, own in found])
+
+
 @dataclass
 class Attention:
     """A text's score: sigmoid(top . sum of weight * h), h = tanh(x W + b), weight = softmax of pick . (tanh(h V) * sigmoid(h U))."""
@@ -163,17 +181,18 @@ def labelled_bags(docs: DataFrame, labels: DataFrame) -> tuple:
     ids = docs.sparkSession.createDataFrame(sample.collect(), sample.schema) if counts else sample
 
     def encode(batches):
-        for batch in small_batches(batches, 64):
-            x, owner = passages(*byte_buffer(batch.column(2)))
+        for batch in sized_batches(batches, 2, 4 << 20, 64):
+            x, owner = all_passages(*byte_buffer(batch.column(2)))
             rows = []
             for k in range(batch.num_rows):
                 own = np.flatnonzero(owner == k)
                 own = own[np.unique(np.linspace(0, len(own) - 1, BAG).round().astype(int))]
                 rows.append(x[own].ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.float32())), batch.column(3)], names=["doc_id", "quality", "x", "hash"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").mapInArrow(encode, f"doc_id {id_type}, quality int, x array<float>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("hash")).mapInArrow(encode, f"doc_id {id_type}, quality int, x array<float>, hash long")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("hash", "quality", "x")).alias("one")).select("doc_id", "one.quality", "one.x").toPandas().sort_values("doc_id")
     y = found["quality"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return None, None, None, None, share
@@ -198,11 +217,11 @@ def scored(plain: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches):
         model, common = known.value
-        for batch in small_batches(batches, 512):
+        for batch in sized_batches(batches, 1, 4 << 20, 512):
             if model is None:
                 p = np.full(batch.num_rows, common)
             else:
-                features, own = passages(*byte_buffer(batch.column(1)))
+                features, own = all_passages(*byte_buffer(batch.column(1)))
                 p = model.forward(features, own, batch.num_rows)[6]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
@@ -218,11 +237,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, ident="doc_id", text="text") -
 
     def keep(batches):
         model, common = known.value
-        for batch in small_batches(batches, 512):
+        for batch in sized_batches(batches, at, 4 << 20, 512):
             if model is None:
                 yield batch if common >= 0.5 else batch.slice(0, 0)
             else:
-                features, own = passages(*byte_buffer(batch.column(at)))
+                features, own = all_passages(*byte_buffer(batch.column(at)))
                 yield batch.filter(pa.array(model.forward(features, own, batch.num_rows)[6] >= 0.5))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -18,9 +18,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named, as in tests."""
+    """The folder that the cluster names for checkpoints; a local one only where none is named and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("executors share no folder with the driver: set spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts of up to CHUNK characters are pre-tokenised as they are. A longer text is cut into chunks that reach OVERLAP
-characters into the next one. The chunks are pre-tokenised in parallel, each from its own start; what lies
+A text is cut into chunks that reach OVERLAP characters into the next one; chunks are CHUNK characters long, and are worked
+through where the text lies, unless the text is longer than DEALT. Then chunks are DEALT characters long and are dealt to
+tasks in parallel. Chunks are pre-tokenised each from its own start; what lies
 at the edge of a chunk's view is left out. The true boundaries of a text are those of its first chunk, and from
 there those of the next chunk after the first boundary that both have: from equal boundaries the pattern goes on alike.
 Where the views share none, as in one very long word, the matcher steps on from the last true boundary until it meets
 one of the next chunk. The pieces are then encoded by the ranks; decoding joins the bytes of the ids.
 
 Defined results: null and empty texts have no ids; lone surrogates can't occur in Spark strings; repeated
-rows give repeated results; an empty table gives an empty result; other columns are ignored.
+rows give repeated results; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import base64
 import hashlib
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.llm.shared import small_batches
 
-CHUNK, OVERLAP, EDGE = 65536, 512, 4
+CHUNK, DEALT, OVERLAP, EDGE = 4096, 65536, 512, 4
 #: Pieces that a Python worker remembers.
 REMEMBERED = 200_000
 
@@ -119,14 +122,23 @@ def stitched(chunks, matcher: regex.Pattern):
         yield pieces
 
 
-def encode_short(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def views(text: str, chunk: int, overlap: int):
+    """start, view, whole of each chunk; whole: the view reaches the end of the text."""
+    for start in range(0, max(1, len(text)), chunk):
+        yield start, text[start : start + chunk + overlap], start + chunk + overlap >= len(text)
+        if start + chunk + overlap >= len(text):
+            return
+
+
+def encode_in_place(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     def encode(batches):
         known, matcher = vocabulary(path, pattern)
         for batch in small_batches(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 run = Running()
-                run.add(matcher.findall(text or ""), known)
+                for pieces in stitched(((start, view, boundaries(view, whole, matcher), whole) for start, view, whole in views(text or "", chunk, overlap)), matcher):
+                    run.add(pieces, known)
                 rows.append(run.row())
             yield result_batch(batch.column(0), rows)
 
@@ -146,17 +158,16 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
     """Texts of more than a chunk: cut, pre-tokenised where the chunks land, stitched in order of the chunks."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    arrow_type = to_arrow_type(docs.schema["doc_id"].dataType)
     names = ["row", "start", "doc_id", "view", "whole"]
 
     def cut(batches):
         for batch in small_batches(batches, 16):
             for row, doc_id, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-                whole_text = text.as_py()
-                starts = list(range(0, len(whole_text), chunk))
-                for k in range(0, len(starts), 64):
-                    part = starts[k : k + 64]
-                    views = [whole_text[s : s + chunk + overlap] for s in part]
-                    columns = [pa.array([row.as_py()] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([doc_id.as_py()] * len(part), doc_id.type), pa.array(views, pa.string()), pa.array([s + chunk + overlap >= len(whole_text) for s in part])]
+                of = views(text.as_py(), chunk, overlap)
+                while part := list(islice(of, 64)):
+                    starts, seen, whole = zip(*part, strict=True)
+                    columns = [pa.array([row.as_py()] * len(part), pa.int64()), pa.array(starts, pa.int64()), pa.array([doc_id.as_py()] * len(part), doc_id.type), pa.array(seen, pa.string()), pa.array(whole)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def split(batches):
@@ -177,29 +188,26 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
             row, doc_id, run, following = head[0], head[2], Running(), [None]
 
             def chunks(first=head, row=row, following=following):
-                done = False
                 while first is not None and first[0] == row:
-                    if not done:
-                        yield first[1], first[3], first[5], first[4]
-                    done |= first[4]  # a chunk that saw the end of the text ends it
+                    yield first[1], first[3], first[5], first[4]
                     first = next(stream, None)
                 following[0] = first
 
             for pieces in stitched(chunks(), matcher):
                 run.add(pieces, known)
-            yield result_batch(pa.array([doc_id], pa.int64() if id_type == "bigint" else None), [run.row()])
+            yield result_batch(pa.array([doc_id], arrow_type), [run.row()])
             head = following[0]
 
     base = f"row long, start long, doc_id {id_type}, view string, whole boolean"
-    views = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, base)
-    parted = views.repartition(n, "row", "start").mapInArrow(split, base + ", ends array<int>")
+    dealt = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, base)
+    parted = dealt.repartition(n, "row", "start").mapInArrow(split, base + ", ends array<int>")
     return parted.repartition(n, "row").sortWithinPartitions("row", "start").mapInArrow(stitch, result_schema(docs))
 
 
-def token_report(docs: DataFrame, ident="doc_id", text="text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def token_report(docs: DataFrame, ident="doc_id", text="text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, dealt: int = DEALT, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids in decimal, joined by commas), decoded_sha256 of every row of docs."""
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
     plain = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
-    return encode_short(plain.where(~is_long), path, pattern).unionByName(encode_long(plain.where(is_long), path, pattern, chunk, overlap))
+    is_long = F.coalesce(F.char_length("text") > dealt, F.lit(False))
+    return encode_in_place(plain.where(~is_long), path, pattern, chunk, overlap).unionByName(encode_long(plain.where(is_long), path, pattern, dealt, overlap))

@@ -289,6 +289,20 @@ def test_drop_near_decides_each_row_for_its_own_text(spark):
     assert kept == sorted(map(str, rows[:2] + rows[3:7]))
 
 
+def similar_brute(rows):
+    """The ids of the rows that stay: of texts whose sets of five-word shingles reach 4/5, by links of links, that of the smallest id."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if part[i] != part[j] and (a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0):
+                part = [part[j] if p == part[i] else p for p in part]
+    return [min((d is None, d) for (d, _), q in zip(rows, part, strict=True) if q == p)[1] for p in sorted(set(part))]
+
+
 @pytest.mark.parametrize("long", [64, 2])  # no list is long, most are
 def test_near_stage_keeps_one_of_similar_texts(spark, monkeypatch, long):
     from codeloom.llm import similar
@@ -301,16 +315,7 @@ def test_near_stage_keeps_one_of_similar_texts(spark, monkeypatch, long):
         for n in range(6):
             rows.append((100 + 10 * k + n, " ".join(words)))
             words[r.randrange(120)] = f"v{r.random()}"
-    sets = []
-    for _, t in rows:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    part = list(range(len(rows)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                part = [part[j] if p == part[i] else p for p in part]
-    expected = [min((d is None, d) for (d, _), q in zip(rows, part, strict=True) if q == p)[1] for p in sorted(set(part))]
+    expected = similar_brute(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
     assert kept.columns == docs.columns
@@ -334,8 +339,8 @@ def test_media(docs, texts):
     assert media.media_report(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [65536, 200])
-def test_tokens(spark, docs, texts, chunk):
+@pytest.mark.parametrize("chunk, dealt", [(4096, 65536), (50, 65536), (50, 200)])  # in place whole or in chunks, some dealt
+def test_tokens(spark, docs, texts, chunk, dealt):
     path, pattern = tokens.default_vocabulary()
     library = tokens.vocabulary(path, pattern)[0].encoding
     hard = ["a" * 5000, " " * 3000, "it's " * 900 + " " * 500 + "x", "don" + "'re'll" * 700, "é1٣ \n\n " * 500]
@@ -345,7 +350,7 @@ def test_tokens(spark, docs, texts, chunk):
         for d, t in of:
             ids = library.encode_ordinary(t or "")
             expected.append(str((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())))
-        assert sorted(str(tuple(r)) for r in tokens.token_report(df, chunk=chunk, overlap=20).collect()) == sorted(expected)
+        assert sorted(str(tuple(r)) for r in tokens.token_report(df, chunk=chunk, dealt=dealt, overlap=20).collect()) == sorted(expected)
     assert tokens.token_report(docs.limit(0)).count() == 0
 
 
@@ -369,7 +374,60 @@ def test_pipeline(spark):
         if name == "exact_dedup":
             assert len(now) == len({r.text.lower() for r in kept.collect()})
         if name == "near_dedup":
-            expected = [eval(r)[2] for r in near_brute([(r.doc_id, r.text) for r in kept.collect()])]
-            assert sorted(now) == sorted(set(expected))
+            assert sorted(now) == sorted(similar_brute([(r.doc_id, r.text) for r in kept.collect()]))
         kept = after
     assert corpus_pipeline.run(spark, SF).count() == kept.count()
+
+
+def test_very_long_texts_are_scored_in_runs():
+    text = random.Random(4).choices(["some", "words ", "\n", "é", "12", ". "], k=9000)
+    data = np.frombuffer("".join(text).encode(), np.uint8)
+    offsets = np.array([0, 0, 700, 700 + 8192, len(data)])
+    x, own = quality.all_passages(data, offsets, 4096)
+    assert own.max() == 3 and (np.diff(own) >= 0).all() and x.shape[0] >= len(data) // quality.PASSAGE
+    for k in range(2):  # texts below a run are as they are alone
+        alone, _ = quality.passages(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
+        assert np.allclose(x[own == k], alone)
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(k, f"l{k % 70:02d} " * 30, f"l{k % 70:02d}") for k in range(700)]
+    names, windows, labels = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(names) == 70 and set(labels) == set(range(70)) and len(windows) == len(labels)
+
+
+def test_ids_of_other_types(spark):
+    rows = [(1, "word " * 40), (2, None)]
+    for kind in ("int", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+        assert tokens.token_report(df, dealt=50).schema["doc_id"].dataType.simpleString() == kind
+        assert tokens.token_report(df, dealt=50).count() == 2
+
+
+def test_pipeline_edges(spark):
+    """Null and shared ids, null, empty and repeated texts, clashing columns, an empty table."""
+    good = "The quick brown fox jumps over the lazy dog while seven wizards watch the quiet river in the early morning light. "
+    rows = [(None, good + "null one"), (None, good * 2 + "and something else entirely here"), (1, good + "x"), (1, "an entirely different text with the same id and no copy at all"), (2, None), (3, ""), (4, good + "x"), (4, good + "x"), (5, "  ")]
+    frame = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), *(["x"] * len(CLASHES))) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in CLASHES))
+    docs = frame
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        if name == "byte_bpe":
+            assert after.count() == docs.count()
+            break
+        assert after.columns == frame.columns
+        before, docs = [(r.doc_id, r.text) for r in docs.collect()], spark.createDataFrame(after.collect(), frame.schema)
+        now = [(r.doc_id, r.text) for r in docs.collect()]
+        assert set(now) <= set(before)
+        if name == "exact_dedup":
+            best = {}
+            for d, t in before:
+                k = (t or "").lower()
+                best[k] = max(best.get(k, (False, 0)), (d is not None, d or 0))
+            assert sorted((d is not None, d or 0) for d, _ in now) == sorted(best.values())
+        if name == "near_dedup":
+            assert sorted(map(str, (d for d, _ in now))) == sorted(map(str, similar_brute(before)))
+        if name in ("exact_dedup", "near_dedup"):
+            assert len(set(now)) == len(now)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), SF).count() == 0
