@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions: tokens, identifiers, paths, cuts, focus hints."""
+"""Scalar text functions as Column expressions: tokens, identifiers, paths, cuts."""
 
 from __future__ import annotations
 
@@ -60,18 +60,6 @@ def dedup_clean(items: Column) -> Column:
     return F.filter(trimmed, lambda s, i: F.array_position(lowered, F.lower(s)) == i + 1)
 
 
-def focus(text: Column) -> dict[str, Column]:
-    """Hints that rules find in an issue text, each an array of different matches in order."""
-    found = lambda p, g=0: F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(g)))
-    return {
-        "files": found(r"[\w./\\-]+\.py"),
-        "quoted": found(r"`([^`]+)`", 1),
-        "camel": found(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"),
-        "calls": found(r"\b([A-Za-z_][A-Za-z0-9_]*)\(", 1),
-        "errors": found(r"\b[A-Za-z_]*(?:Error|Exception|Warning)\b"),
-    }
-
-
 def looks_like_code(text: Column) -> Column:
     """A path, a name with underscores, a name with two capitals, or a dotted name."""
     path = text.rlike(r"[/\\]|\.py")

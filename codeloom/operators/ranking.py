@@ -75,11 +75,15 @@ def fused(semantic: DataFrame, structural: DataFrame, lexical: DataFrame, alpha=
     return joined.withColumn("score", F.round(alpha * F.col("s") + beta * F.col("e") + gamma * F.col("b") + F.when((F.col("e") > 0) & (F.col("b") > 0), 0.05).otherwise(0.0), 8))
 
 
+#: Weights that stay, and the least and the factor of those that decay.
+STEADY = {"current_query": 1.20, "query_exact_symbols": 1.20, "query_method_class": 1.10, "query_error": 1.00, "query_bm25_queries": 1.00, "query_behavior": 0.90}
+DECAYING = {"initial_exact_symbols": (0.50, 1.10), "initial_method_class": (0.40, 0.95), "initial_error": (0.30, 0.85), "initial_bm25_queries": (0.30, 0.80), "initial_behavior": (0.20, 0.60)}
+
+
 def group_weights(step: Column) -> dict[str, Column]:
-    """Weights of the query groups after so many steps."""
-    base = 0.3 + 0.9 * F.exp(-0.25 * step)
-    scale = {"exact": (0.50, 1.10), "method_class": (0.40, 0.95), "error": (0.30, 0.85), "bm25": (0.30, 0.80), "behavior": (0.20, 0.60)}
-    return {name: F.round(F.greatest(F.lit(least), factor * base), 6) for name, (least, factor) in scale.items()}
+    """Weights of the query groups after so many steps; a step below 0 counts as 0."""
+    base = 0.3 + 0.9 * F.exp(-0.25 * F.greatest(step, F.lit(0)))
+    return {n: F.lit(w) for n, w in STEADY.items()} | {n: F.round(F.greatest(F.lit(least), factor * base), 6) for n, (least, factor) in DECAYING.items()}
 
 
 def seeds(semantic: DataFrame, lexical: DataFrame, types: DataFrame, k: int = 3, beta=0.55, gamma=0.20) -> DataFrame:

@@ -71,10 +71,12 @@ def bm25_search_many(spark, d):
     return ranking.bm25_search_many(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", weight.alias("weight")))
 
 
-@query("""SELECT s.range AS step, round(greatest(0.5, 1.1 * b), 6) AS exact, round(greatest(0.4, 0.95 * b), 6) AS method_class, round(greatest(0.3, 0.85 * b), 6) AS error,
-round(greatest(0.3, 0.8 * b), 6) AS bm25, round(greatest(0.2, 0.6 * b), 6) AS behavior FROM (SELECT range, 0.3::DOUBLE + 0.9::DOUBLE * exp(-0.25::DOUBLE * range) AS b FROM range(0, 20)) s""")
+@query("""SELECT s AS step, 1.2::DOUBLE AS current_query, 1.2::DOUBLE AS query_exact_symbols, 1.1::DOUBLE AS query_method_class, 1.0::DOUBLE AS query_error, 1.0::DOUBLE AS query_bm25_queries,
+0.9::DOUBLE AS query_behavior, round(greatest(0.5, 1.1 * b), 6) AS initial_exact_symbols, round(greatest(0.4, 0.95 * b), 6) AS initial_method_class, round(greatest(0.3, 0.85 * b), 6) AS initial_error,
+round(greatest(0.3, 0.8 * b), 6) AS initial_bm25_queries, round(greatest(0.2, 0.6 * b), 6) AS initial_behavior
+FROM (SELECT range - 3 AS s, 0.3::DOUBLE + 0.9::DOUBLE * exp(-0.25::DOUBLE * greatest(range - 3, 0)) AS b FROM range(0, 25))""")
 def bm25_group_weights(spark, d):
-    return spark.range(20).select(F.col("id").alias("step"), *(c.alias(n) for n, c in ranking.group_weights(F.col("id")).items()))
+    return spark.range(25).select((F.col("id") - 3).alias("step"), *(c.alias(n) for n, c in ranking.group_weights(F.col("id") - 3).items()))
 
 
 @query("""SELECT a.vec_id AS query_id, b.vec_id AS node, score FROM (
@@ -252,10 +254,3 @@ def keywords_top30(spark, d):
 def link_targets(spark, d):
     links = table(spark, d, "pages").select("url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("target"))
     return links.groupBy("url", "host", "target").agg(F.count("*").alias("n"))
-
-
-@query(r"""SELECT item_id, array_to_string(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b')).list_sort(), ' ') AS camel,
-array_to_string(list_distinct(regexp_extract_all(text, '\b[A-Za-z_]*(?:Error|Exception|Warning)\b')).list_sort(), ' ') AS errors FROM benchmark""")
-def focus_rules(spark, d):
-    found = X.focus(F.col("text"))
-    return table(spark, d, "benchmark").select("item_id", *(F.array_join(F.array_sort(found[n]), " ").alias(n) for n in ("camel", "errors")))
