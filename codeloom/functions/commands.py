@@ -27,6 +27,23 @@ FAILURE_MARKERS = (
     "ERROR:", "FAILED", "FAIL:", "FAILURES", "ERRORS", "metadata-generation-failed",
     "Encountered error while generating package metadata", "No such file or directory", "command not found",
 )
+#: A plain `git diff` or one of paths; none of history, of the index, or that hides or sums up the diff.
+OTHER_DIFF = r"\bHEAD\b|\b[a-f0-9]{7,40}\b|\.\.\.?\S+|--(cached|staged|exit-code|quiet|name-only|name-status|stat|shortstat|summary|check)\b"
+WRAPPED = r"(?s)^bash\s+-(?:c|lc)\s+(['\"])(.*)\1\s*$"
+IN_PLACE = r"(?<!\S)-i(?:\S*)?(?!\S)|(?<!\S)--in-place(?:=\S+)?(?!\S)"
+PIPEFAIL = ("set -o pipefail", "set -eo pipefail", "set -euo pipefail")
+CUT_SHORT = r"\|\s*(head|tail)\b"
+WRONG_PATH = r"/workspace/(django|tests|setup\.py|pyproject\.toml)\b"
+AFTER_WRONG_CD = (
+    r"\bgit\s+diff\b", r"\bgit\s+status\b", r"\bpython(?:3)?\s+tests/runtests\.py\b", r"\bpython(?:3)?\s+-m\s+pytest\b", r"\bpytest\b", r"\bpython(?:3)?\s+setup\.py\b",
+    r"\bpython(?:3)?\s+<<['\"]?PY", r"\bpython(?:3)?\s+-c\b", r"\bgrep\b.*\bdjango/", r"\bnl\s+-ba\b.*\bdjango/",
+)
+ERROR_PLACE = (
+    r"\bid=['\"][a-zA-Z_]+\.E\d+['\"]", r"\bmodels\.E\d+\b", r"\bfields\.E\d+\b", r"\badmin\.E\d+\b", "db_table .* is used by multiple models", "is used by multiple models",
+    r"Traceback \(most recent call last\)", "AssertionError", "FAILED",
+)
+TARGETS_TESTS, TARGETS_SOURCE = r"(^|\s)(tests?/|tests\b)", r"(^|\s)(django/|django\b)"
+SUBMIT_COMMAND = f"echo {SUBMIT_MARK}"
 EMPTY_BLOB = "e69de29bb"
 EMPTIED_HUNK = r"@@\s+-\d+,\d+\s+\+0,0\s+@@"
 
@@ -39,8 +56,47 @@ def submits(command: Column) -> Column:
     return F.contains(command, F.lit(SUBMIT_MARK)) | F.contains(F.lower(command), F.lit("submit_final_output")) | (F.lower(F.trim(command)) == "submit")
 
 
-def shows_diff(command: Column) -> Column:
-    return command.rlike(r"\bgit\s+(-\S+\s+)*diff\b")
+def matches(text: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (text.rlike(p) for p in patterns))
+
+
+def shows_diff(command: Column, depth: int = 2) -> Column:
+    """The diff of the working tree, seen whole: alone, after one `cd`, or as that in a `bash -c`; not piped, redirected or from a script."""
+    c = F.trim(command)
+    plain = lambda x: x.rlike(r"^git\s+diff(\s|$)") & ~x.rlike(OTHER_DIFF)
+    parts = F.filter(F.transform(F.split(c, r"\s*&&\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    after_cd = F.get(parts, F.lit(0)).rlike(r"^cd\s+.+$") & plain(F.get(parts, F.lit(1)))
+    here = F.when(F.size(parts) == 1, plain(F.get(parts, F.lit(0)))).when(F.size(parts) == 2, after_cd).otherwise(False)
+    if depth:
+        here = F.when(c.rlike(WRAPPED), shows_diff(F.regexp_extract(c, WRAPPED, 2), depth - 1)).otherwise(here)
+    hidden = c.rlike(r"(?s)\bpython(?:3)?\b.*\bgit\s+diff\b") | c.rlike(r"(^|[;&|]\s*)git\s+show(\s|$)") | c.rlike("[|<>]")
+    return F.coalesce(~hidden & here, F.lit(False))
+
+
+def edits_in_place(command: Column) -> Column:
+    """A `sed` of the command that changes its file."""
+    parts = F.transform(F.split(command, r"\s*(?:&&|\|\||;)\s*"), lambda p: F.trim(p))
+    return F.exists(parts, lambda p: p.rlike(r"^(sudo\s+)?sed\b") & p.rlike(IN_PLACE))
+
+
+def loses_status(command: Column) -> Column:
+    """A test or an installation cut by head or tail, whose failure the shell wouldn't tell."""
+    low = F.lower(command)
+    return low.rlike(CUT_SHORT) & low.rlike(IMPORTANT) & ~any_of(command, PIPEFAIL)
+
+
+def wrong_root(command: Column) -> Column:
+    """Works in the folder above the repository as if it were the repository."""
+    c = F.trim(command)
+    looks = c.rlike(r"^ls\s+/?workspace/?\s*$") | c.rlike(r"^find\s+/workspace\b")
+    return ~looks & (command.rlike(WRONG_PATH) | (command.rlike(r"cd\s+/workspace\s*&&") & matches(command, AFTER_WRONG_CD)))
+
+
+def shows_error_place(command: Column, output: Column) -> Column:
+    """An output that names an error or a failure and comes from source files, not from tests alone or from a rule of ours."""
+    text, command = F.coalesce(output, F.lit("")), F.coalesce(command, F.lit(""))
+    at_source = text.rlike(r"(^|\n)\.?/?[A-Za-z0-9_./-]+\.py:\d+:") & ~text.rlike(r"(^|\n)\.?/?tests?/") | text.rlike(r"(^|\n)\.?/?django/[A-Za-z0-9_./-]+\.py:\d+:")
+    return ~F.ltrim(text).startswith("[policy error]") & matches(text, ERROR_PLACE) & (command.rlike(TARGETS_SOURCE) | at_source)
 
 
 def edits(command: Column) -> Column:
