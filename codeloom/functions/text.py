@@ -25,8 +25,19 @@ def split_identifier(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Tokens of two or more characters, each followed by its parts, so that a plain token counts twice."""
     raw = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= 2)
-    parts = lambda t: F.filter(F.split(F.translate(t, "_", " "), " "), lambda p: F.length(p) >= 2)
-    return F.flatten(F.transform(raw, lambda t: F.concat(F.array(t), parts(t))))
+    parts = lambda t: F.filter(F.split(t, "_"), lambda p: F.length(p) >= 2)
+    return F.flatten(F.transform(raw, lambda t: F.when(F.contains(t, F.lit("_")), F.concat(F.array(t), parts(t))).otherwise(F.array(t, t))))
+
+
+def token_bag(text: Column) -> Column:
+    """The tokens and parts of `tokens` in another order: first all tokens, then all parts. Regular expressions alone, without a lambda."""
+    raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z_][a-z0-9_]+|[0-9]{2,}|[一-鿿]{2,}"), F.lit(0))
+    return once(raw, lambda r: F.concat(r, F.regexp_extract_all(F.array_join(r, " "), F.lit(r"[a-z0-9]{2,}|[一-鿿]{2,}"), F.lit(0))))
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def keywords(text: Column, most: int = 30) -> Column:

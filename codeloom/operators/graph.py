@@ -65,15 +65,18 @@ def inherit_depth(nodes: DataFrame, inherits: DataFrame, rounds: int = 100) -> D
     )
 
 
-def co_dependents(imports: DataFrame, least: float = 0.3, k: int = 10) -> DataFrame:
-    """a, b, score: files with similar import sets, the best k of each. imports: (file, target).
+def co_dependents(imports: DataFrame, least: float = 0.3, k: int = 10, of: DataFrame | None = None) -> DataFrame:
+    """a, b, score: files with similar import sets, the best k of each, or of the files `of` alone. imports: (file, target).
 
-    Only files that share a target meet; self-imports don't count.
+    Only files that share a target meet, and only where the sizes of their sets allow a cosine above `least`; self-imports don't count.
     """
     pairs = imports.where("file <> target").select("file", "target").distinct()
     size = pairs.groupBy("file").agg(F.count("*").alias("n"))
     left, right = (pairs.join(size, "file").select(F.col("file").alias(f), "target", F.col("n").alias(n)) for f, n in (("a", "na"), ("b", "nb")))
-    both = left.join(right, "target").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    left = left if of is None else left.join(of.select(F.col("file").alias("a")), "a", "left_semi")
+    # The cosine is at most sqrt(smaller / larger).
+    fits = F.least("na", "nb") >= (least * least - 1e-9) * F.greatest("na", "nb")
+    both = left.join(right, "target").where(F.col("a") != F.col("b")).where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     close = both.withColumn("sim", F.col("c") / F.sqrt(F.col("na") * F.col("nb"))).where(F.round("sim", 9) > least)
     scored = close.select("a", "b", F.round(F.col("sim") * 0.85, 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))

@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from codeloom.functions.text import cosine, looks_like_code, tokens
+from codeloom.functions.text import looks_like_code, once, token_bag
 
 K1, B = 1.5, 0.75
+#: Different terms of the queries that are collected and broadcast; query vectors that a round sends to every task.
+MOST_TERMS, MOST_VECTORS = 20_000, 10_000
 
 
 def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """node, term, tf."""
-    return docs.select(F.col(ident).alias("node"), F.explode(tokens(F.col(text))).alias("term")).groupBy("node", "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(ident).alias("node"), F.explode(token_bag(F.col(text))).alias("term")).groupBy("node", "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """node, dl: texts without tokens count too."""
-    return docs.select(F.col(ident).alias("node"), F.size(tokens(F.col(text))).alias("dl"))
+    return docs.select(F.col(ident).alias("node"), F.size(token_bag(F.col(text))).alias("dl"))
 
 
 def bm25_terms(docs: DataFrame, queries: DataFrame, ident: str, text: str) -> DataFrame:
     """query_id, node, score of every match. queries: (query_id, text); a query's terms are a set.
 
-    Only terms of the queries are kept before the shuffle; the corpus statistics come from all texts.
+    Texts are tokenised twice, once for the statistics of the corpus and once for the matches; only terms of the queries
+    leave a row. Up to MOST_TERMS different ones they are counted first, then filtered by and broadcast; beyond, they are joined.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = docs.select(F.col(ident).alias("node"), tokens(F.col(text)).alias("all")).withColumn("dl", F.size("all"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = sized.select("node", "dl", F.explode("all").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("node", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = queries.select("query_id", F.explode(F.array_distinct(token_bag(F.col("text")))).alias("term"))
+    some = [r.term for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(some) <= MOST_TERMS
+    small = F.broadcast if few else lambda df: df
+    kept = (lambda a: F.filter(a, lambda t: t.isin(some or [""]))) if few else (lambda a: a)
+    per = docs.select(F.col(ident).alias("node"), once(token_bag(F.col(text)), lambda a: F.struct(F.size(a).alias("dl"), kept(a).alias("hits"))).alias("p"))
+    counted = per.select(F.col("p.dl").alias("dl"), F.explode(F.concat(F.array_distinct("p.hits"), F.array(F.lit("")))).alias("term"))
+    counted = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    corpus = counted.where("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    one_row = F.broadcast(corpus)
-    return hits.join(df, "term").join(wanted, "term").crossJoin(one_row).select("query_id", "node", weight.alias("w")).groupBy("query_id", "node").agg(F.sum("w").alias("score"))
+    rarity = counted.where("term <> ''").select("term", "df").join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(corpus)).select("term", idf.alias("idf"), "avgdl")
+    hits = per.select("node", F.col("p.dl").alias("dl"), F.explode_outer("p.hits").alias("term")).where("term IS NOT NULL").groupBy("node", "dl", "term").agg(F.count("*").alias("tf"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(small(rarity), "term").join(small(wanted), "term").select("query_id", "node", weight.alias("w")).groupBy("query_id", "node").agg(F.sum("w").alias("score"))
+
+
+def candidates(docs: DataFrame, query: str, k: int = 200, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """node: the ids of the best matches."""
+    return bm25_search(docs, query, k, ident, text).select("node")
 
 
 def top(df: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
@@ -58,12 +76,54 @@ def bm25_search_many(docs: DataFrame, queries: DataFrame, k: int = 20, per_query
     return top(found.select("node", F.round(F.least(F.lit(1.0), F.col("best") + bonus), 6).alias("score"), "hits"), k, "score", "node")
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, node, score: for each query vector the k nearest. vectors: (node, vec); queries: (query_id, vec), a stated small set."""
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("vec").alias("q"))), F.col("node") != F.col("query_id"))
-    scored = pairs.select("query_id", "node", F.round(F.greatest(F.lit(0.0), cosine(F.col("vec"), F.col("q"))), 6).alias("score"))
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """query_id, node, score: for each query vector the k nearest. vectors: (node, vec); queries: (query_id, vec), a stated set.
+
+    Vectors of norm 1 meet by blocks in matrix products; a block sends on its k nearest to each query. Up to MOST_VECTORS
+    queries are sent to every task, more go through in rounds of so many. A vector without a direction, or with NaN, has similarity 0.
+    """
+    of_type = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *queries.schema]}
+
+    def unit(column) -> np.ndarray:
+        rows = column.to_pylist()
+        m = np.array(rows, float) if rows else np.zeros((0, 1))
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.nan_to_num(np.where(norm > 1e-12, m / norm, 0.0), nan=0.0, posinf=0.0, neginf=0.0)
+
+    def nearest(known):
+        def near(batches):
+            ids, units = known.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, block):
+                    part = batch.slice(a, block)
+                    nodes, out = part.column(0).to_pylist(), []
+                    scores = np.round(np.maximum(units @ unit(part.column(1)).T, 0.0), 6)
+                    for q, row in zip(ids, scores, strict=True):
+                        some = sorted(zip((-row).tolist(), nodes, strict=True))[: k + 1] if len(row) <= k + 1 else best_of(row, nodes, k + 1)
+                        out += [(q, n, -s) for s, n in some if n != q][:k]
+                    q, n, s = zip(*out, strict=True) if out else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, id_type), pa.array(n, part.column(0).type), pa.array(s, pa.float64())], names=["query_id", "node", "score"])
+
+        return near
+
+    id_type, found = to_arrow_type(queries.schema["query_id"].dataType), None
+    rows = queries.select("query_id", "vec").toLocalIterator()
+    plain = vectors.select("node", F.col("vec").cast("array<double>").alias("vec"))
+    while part := list(islice(rows, MOST_VECTORS)):
+        known = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in part], unit(pa.array([list(map(float, r.vec)) for r in part]))))
+        one = plain.mapInArrow(nearest(known), f"query_id {of_type['query_id']}, node {of_type['node']}, score double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id {of_type['query_id']}, node {of_type['node']}, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+def best_of(row: np.ndarray, nodes: list, k: int) -> list:
+    """The k largest with their nodes, ties by node."""
+    least = np.partition(row, len(row) - k)[len(row) - k]
+    return sorted((-float(row[j]), nodes[j]) for j in np.flatnonzero(row >= least))[:k]
 
 
 def fused(semantic: DataFrame, structural: DataFrame, lexical: DataFrame, alpha=0.25, beta=0.55, gamma=0.20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import package
 from codeloom.operators.graph import best_per_node
+from codeloom.operators.graph import co_dependents as alike_files
 
 #: Fixed values.
 SCORES = {"same class": 0.82, "same file": 0.70, "same package": 0.45, "parent": 0.92, "overridden": 0.95, "shared parent": 0.78, "child": 0.88, "caller": 0.85, "callee": 0.80, "importer": 0.70, "importee": 0.65}
@@ -81,15 +82,33 @@ def dependencies(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     imports = edges.where("relation_type = 'IMPORTS'").select("src", "dst", "ord").join(file_of("src", "a"), "src").join(file_of("dst", "b"), "dst").where("a <> b")
     ways = imports.select(F.col("b").alias("file"), F.col("a").alias("other"), "ord", F.lit("importer").alias("way")).unionByName(imports.select(F.col("a").alias("file"), F.col("b").alias("other"), "ord", F.lit("importee").alias("way")))
     once = ways.groupBy("file", "other").agg(F.min_by("way", F.struct("ord", "way")).alias("way"))
-    inner = nodes.where("type IN ('CLASS', 'FUNCTION')")
-    stands = inner.groupBy(F.col("file").alias("other")).agg(F.min_by("id", F.struct((F.col("type") != "CLASS").cast("int"), "ord", "id")).alias("node"))
+    stands = representatives(nodes).withColumnRenamed("file", "other")
     linked = at.join(once, "file").join(stands, "other")
     return together(found(callers, "node", "caller"), found(callees, "node", "callee"), *(found(linked.where(F.col("way") == w), "node", w) for w in ("importer", "importee")))
 
 
+def representatives(nodes: DataFrame) -> DataFrame:
+    """file, node: the first class of each file, else its first function."""
+    inner = nodes.where("type IN ('CLASS', 'FUNCTION')")
+    return inner.groupBy("file").agg(F.min_by("id", F.struct((F.col("type") != "CLASS").cast("int"), "ord", "id")).alias("node"))
+
+
+def co_dependents(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Representatives of the files whose imports are like those of the seed's file; the score goes by their likeness."""
+    at = known(seeds, nodes)
+    file_of = lambda n, f: nodes.select(F.col("id").alias(n), F.col("file").alias(f))
+    imports = of_type(edges, "IMPORTS", "src", "dst").join(file_of("src", "file"), "src").join(file_of("dst", "target"), "dst").select("file", "target")
+    like = alike_files(imports, of=at.select("file").distinct())
+    linked = at.join(like, at["file"] == like["a"]).select("seed", F.col("b").alias("file"), F.col("score").alias("likeness")).join(representatives(nodes), "file")
+    return linked.where("seed <> node").select("seed", "node", F.col("likeness").alias("score"), F.lit("like imports").alias("reason"), F.lit(len(SCORES)).alias("ord"))
+
+
 def related(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """seed, node, score, reason: the k best of all modes, each node once."""
-    every = together(siblings(seeds, nodes, edges), inheritance(seeds, nodes, edges), dependencies(seeds, nodes, edges))
+    every = together(siblings(seeds, nodes, edges), inheritance(seeds, nodes, edges), dependencies(seeds, nodes, edges), co_dependents(seeds, nodes, edges))
     best = best_per_node(every, "seed")
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "node"))
     return best.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
+MODES = {"siblings": siblings, "inheritance": inheritance, "dependencies": dependencies, "co_dependents": co_dependents, "related": related}

@@ -23,7 +23,7 @@ def test_tokens(spark, word, expected):
 
 def test_group_weights(spark):
     row = spark.createDataFrame([(5,)], "t int").select(*(c.alias(n) for n, c in ranking.group_weights(F.col("t")).items())).first()
-    assert (row.exact, row.method_class, row.error, row.bm25, row.behavior) == (0.613640, 0.529962, 0.474176, 0.446283, 0.334713)
+    assert (row.initial_exact_symbols, row.initial_method_class, row.initial_error, row.initial_bm25_queries, row.initial_behavior) == (0.613640, 0.529962, 0.474176, 0.446283, 0.334713)
 
 
 def test_dedup_clean_and_paths(spark):
