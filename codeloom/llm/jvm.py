@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from codeloom.llm.shared import shared_folder
+from codeloom.llm.shared import scratch_folder
 
 FUNCTIONS = {"codeloom_pack_ids": "codeloom.TokenBlocks$Pack", "codeloom_unpack_ids": "codeloom.TokenBlocks$Unpack"}
 
@@ -36,7 +36,7 @@ def register_functions(spark: SparkSession) -> None:
     compiler.cook(source)
     classes = {entry.getKey(): bytes(entry.getValue()) for entry in compiler.getBytecodes().entrySet()}
     jar = jar_of(classes)
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/codeloom/jars/{hashlib.sha256(jar).hexdigest()[:16]}-{context.applicationId}.jar")
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/{hashlib.sha256(jar).hexdigest()[:16]}.jar")
     system = path.getFileSystem(context._jsc.hadoopConfiguration())
     out = system.create(path, True)
     out.write(jar)
