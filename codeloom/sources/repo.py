@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Fixed values.
 EXCLUDED = (".git", "__pycache__", ".tox", ".venv", "venv", "env", "node_modules", "dist", "build", ".eggs")
 SKIPPED_BASES = ("object", "ABC", "Exception", "BaseException", "type")
-FACTS = "file string, kind string, owner string, name string, type string, level int, start_line int, end_line int, ord int, signature string, docstring string, code string, error string"
+FACTS = "file string, kind string, owner string, name string, type string, level int, start_line int, end_line int, ord int, signature string, docstring string, code string, error string, decorators array<string>, is_async boolean"
 
 
 def source_files(spark: SparkSession, root: str, excluded=()) -> DataFrame:
@@ -47,11 +47,14 @@ def facts_of(file: str, content: bytes) -> Iterator[tuple]:
         seen[0] += 1
         start, end = (node.lineno, node.end_lineno) if node is not None and hasattr(node, "lineno") else (0, 0)
         signature = docstring = code = ""
+        decorators = [ast.unparse(d) for d in node.decorator_list] if kind == "def" else []
+        if type_ == "CLASS" and node.bases:
+            signature = f"({', '.join(map(ast.unparse, node.bases))})"
         if type_ in ("FUNCTION", "METHOD"):
             signature = f"({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
         if kind == "def":
             docstring, code = (ast.get_docstring(node) or "").strip().split("\n")[0], "\n".join(lines[start - 1 : end])
-        return file, kind, owner, name, type_, level, start, end, seen[0], signature, docstring, code, error
+        return file, kind, owner, name, type_, level, start, end, seen[0], signature, docstring, code, error, decorators, isinstance(node, ast.AsyncFunctionDef)
 
     try:
         tree = ast.parse(text)
@@ -63,8 +66,12 @@ def facts_of(file: str, content: bytes) -> Iterator[tuple]:
         if isinstance(node, ast.Import):
             for a in node.names:
                 yield row("import", name=a.name, node=node)
+                yield row("alias", "import", a.asname or a.name.split(".")[0], type_=a.name, node=node)
         elif isinstance(node, ast.ImportFrom):
             yield row("import", name=node.module or "", level=node.level, node=node)
+            if of := "." * node.level + (node.module or ""):
+                for a in node.names:
+                    yield row("alias", "from", a.asname or a.name, type_=f"{of}.{a.name}", node=node)
 
     def last(expression):
         return expression.id if isinstance(expression, ast.Name) else expression.attr if isinstance(expression, ast.Attribute) else None
