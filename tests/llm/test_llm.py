@@ -431,3 +431,25 @@ def test_pipeline_edges(spark):
             assert len(set(now)) == len(now)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame.limit(0), SF).count() == 0
+
+
+def test_wide_sketches_and_stars():
+    from codeloom.llm import similar
+
+    r = np.random.default_rng(4)
+    for n, m in ((3000, 3000), (5000, 4200), (1500, 1300), (40, 44)):
+        x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: int(0.93 * min(n, m))], r.integers(0, 2**64, max(0, m - int(0.93 * min(n, m))), dtype=np.uint64)]))
+        z = np.unique(r.integers(0, 2**64, m, dtype=np.uint64))
+        bits = lambda v: max(similar.SKETCH, 1 << (len(v) - 1).bit_length())
+        sx, sy, sz = (similar.sketch_of(v, bits(v)) for v in (x, y, z))
+        assert similar.apart(sx, sy) <= len(np.setxor1d(x, y)) and similar.apart(sx, sx) == 0
+        assert 9 * similar.apart(sx, sz) > len(x) + len(z) or min(n, m) < 1000
+    sizes, labels = np.full(40, 50), np.arange(40)
+    sketches = np.zeros((40, similar.SKETCH // 64), np.uint64)
+    sketches[20:] = r.integers(0, 2**64, (20, similar.SKETCH // 64), dtype=np.uint64)
+    found = list(similar.stars(labels, sizes, sketches))
+    assert sorted([found[0][0], *found[0][1].tolist()]) == list(range(20))
+    pairs = {(int(min(i, j)), int(max(i, j))) for i, js in similar.across(labels, sizes, sketches) for j in js}
+    assert pairs == {(i, j) for i in range(20) for j in range(i + 1, 20)}
+    assert not [1 for _, js in similar.across(np.zeros(40, int), sizes, sketches) for _ in js]
