@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.scratch import written
+
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind (node or edge), type (null: all), n."""
@@ -50,19 +52,56 @@ def overrides(inherits: DataFrame, methods: DataFrame) -> DataFrame:
     return inherits.join(child, "child").join(parent, ["parent", "name"]).select("src", "dst").distinct()
 
 
-def inherit_depth(nodes: DataFrame, inherits: DataFrame, rounds: int = 100) -> DataFrame:
-    """id, depth: steps to the top along first parents, by SQL recursion with a guard against cycles. inherits: (child, parent, ord)."""
-    first = inherits.groupBy("child").agg(F.min_by("parent", "ord").alias("parent"))
-    spark = nodes.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(id, at, depth, path) AS (
-             SELECT id, id, 0, array(id) FROM {{nodes}}
-             UNION ALL
-             SELECT up.id, f.parent, up.depth + 1, array_append(up.path, f.parent) FROM up JOIN {{first}} f ON f.child = up.at
-             WHERE NOT array_contains(up.path, f.parent) AND up.depth < {rounds})
-           SELECT id, max(depth) AS depth FROM up GROUP BY id""",
-        nodes=nodes, first=first,
-    )
+def inherit_depth(nodes: DataFrame, inherits: DataFrame, rounds: int | None = None) -> DataFrame:
+    """id, depth: steps to the top along first parents, each node of the way counted once where it ends in a cycle; with `rounds` at most so many. inherits: (child, parent, ord)."""
+    first = inherits.groupBy("child").agg(F.min_by("parent", "ord").alias("parent")).where("child IS NOT NULL AND parent IS NOT NULL")
+    ways, left = to_tops(first.select(F.col("child").alias("id"), F.col("parent").alias("at")))
+    found = ways.where("NOT open").select("id", "steps")
+    if left:
+        found = found.unionByName(cycle_depths(ways.where("open"), left))
+    depth = F.coalesce("steps", F.lit(0))
+    own = nodes.select("id").distinct().join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    return own.select("id", (depth if rounds is None else F.least(depth, F.lit(rounds))).alias("depth"))
+
+
+def to_tops(links: DataFrame) -> tuple[DataFrame, int]:
+    """id, next, at, steps, open: how far the top of each node is; open ones lead into a cycle, and their number. links: (id, at), one of each id.
+
+    Each round joins two ways to one of twice the length. Where a way of 2^k steps is not the last, some way of 2^k + 1 to 2^(k+1) is,
+    unless all that are left go round in cycles: a round that closes none ends it.
+    """
+    owner = links.select(F.col("id").alias("_id"))
+    ways = written(links.join(owner, F.col("at") == F.col("_id"), "left").select("id", F.col("at").alias("next"), "at", F.lit(1).alias("steps"), F.col("_id").isNotNull().alias("open")), "ways")
+    left = ways.where("open").count()
+    while left:
+        more = ways.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("open").alias("_open"))
+        longer = ways.where("open").join(more, F.col("at") == F.col("_id")).select("id", "next", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_open").alias("open"))
+        ways = written(ways.where("NOT open").unionByName(longer), "ways")
+        was, left = left, ways.where("open").count()
+        if was == left:
+            break
+    return ways, left
+
+
+def cycle_depths(ways: DataFrame, n: int) -> DataFrame:
+    """id, steps of the n nodes whose ways end in cycles: to the cycle, and round it but for the last step. ways: (id, next)."""
+    links = written(ways.select("id", F.col("next").alias("at")), "links")
+    far, length = links, 1
+    while length < n:
+        far = written(far.join(far.select(F.col("id").alias("_id"), F.col("at").alias("_at")), F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")), "far")
+        length *= 2
+    inner = written(far.select(F.col("at").alias("id")).distinct(), "inner")  # after n steps a way is on its cycle, and meets all of it
+    label = written(links.join(inner, "id", "left_semi").select("id", "at", F.col("id").alias("label")), "label")
+    while True:
+        ahead = label.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("label").alias("_label"))
+        label = written(label.join(ahead, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), F.least("label", "_label").alias("label"), (F.col("_label") < F.col("label")).alias("lower")), "label")
+        if label.where("lower").isEmpty():
+            break
+    size = label.groupBy("label").agg((F.count("*") - 1).cast("int").alias("round"))
+    on = written(label.join(size, "label").select("id", "round"), "round")
+    outside, _ = to_tops(links.join(inner, "id", "left_anti"))
+    to_it = outside.join(on.withColumnRenamed("id", "_id"), F.col("at") == F.col("_id")).select("id", (F.col("steps") + F.col("round")).alias("steps"))
+    return on.select("id", F.col("round").alias("steps")).unionByName(to_it)
 
 
 def co_dependents(imports: DataFrame, least: float = 0.3, k: int = 10, of: DataFrame | None = None) -> DataFrame:

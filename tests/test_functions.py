@@ -1,6 +1,7 @@
 """Scalar goldens, and each catalogue query against its SQL in DuckDB on the smallest tables."""
 
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -44,6 +45,25 @@ def test_depth_stops_at_a_cycle(spark):
     assert {r.id: r.depth for r in graph.inherit_depth(nodes, inherits).collect()} == {"a": 1, "b": 1, "c": 2}
 
 
+def test_depth_of_long_chains_and_cycles(spark):
+    """More than 100 levels, tails of several lengths into cycles, a self-loop, a node without a name, a parent that is no node."""
+    rng = random.Random(5)
+    parents = {k: k - 1 for k in range(1, 300)} | {500 + k: 500 + (k + 1) % 7 for k in range(7)} | {600: 600, 700: 900, 601: 600}
+    parents |= {1000 + k: rng.choice([*range(1000, 1000 + k), 503, 299, 600, 701]) for k in range(200)}
+    nodes = spark.createDataFrame([(k,) for k in [*range(300), *(k for k in parents if k >= 300), 701, 299, None]], "id long")
+    inherits = spark.createDataFrame([(c, p, o) for c, p in parents.items() for o, p in ((2, 0), (1, p))], "child long, parent long, ord int")
+
+    def steps(k):
+        way = [k]
+        while (p := parents.get(way[-1])) is not None and p not in way:
+            way.append(p)
+        return len(way) - 1
+
+    found = [(r.id, r.depth) for r in graph.inherit_depth(nodes, inherits).collect()]
+    assert sorted(found, key=str) == sorted(((k, 0 if k is None else steps(k)) for k in {*range(300), *parents, 701, None}), key=str)
+    assert max(r.depth for r in graph.inherit_depth(nodes, inherits, 100).collect()) == 100
+
+
 def rows(frame):
     clean = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else round(v, 9) if isinstance(v, float) else v
     return sorted(map(str, ([clean(v) for v in r] for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))))
