@@ -34,15 +34,22 @@ def ranked_resolution(uses: DataFrame, definitions: DataFrame, unique: bool) ->
     """use, definition, tier: candidates of the nearest tier. uses: (use, name, near); definitions: (definition, name, near).
 
     Tier 1 is the same scope, tier 2 any. With unique, a tier counts only if it has one candidate, and uses without one get a null.
+    A name's candidates are counted before uses meet them: uses only meet those of their own tier, and with unique none but the one.
     """
-    defined = definitions.select("definition", "name", F.col("near").alias("_near"))
-    found = uses.join(defined, "name").withColumn("tier", F.when(F.col("near") == F.col("_near"), 1).otherwise(2))
-    by = Window.partitionBy("use", "name")
+    one = lambda *keys: definitions.groupBy(*keys).agg(F.count("*").alias("n"), F.min("definition").alias("one"))
+    near = one("name", F.col("near").alias("_near")).where("_near IS NOT NULL").select(F.col("name").alias("_name"), "_near", F.col("n").alias("near_n"), F.col("one").alias("near_one"))
+    told = uses.join(near, (F.col("name") == F.col("_name")) & (F.col("near") == F.col("_near")), "left").select("use", "name", "near", F.coalesce("near_n", F.lit(0)).alias("near_n"), "near_one")
     if not unique:
-        return found.withColumn("best", F.min("tier").over(by)).where("tier = best").select("use", "name", "definition", "tier")
-    counted = found.withColumn("near_n", F.sum((F.col("tier") == 1).cast("int")).over(by)).withColumn("all_n", F.count("*").over(by))
-    chosen = counted.where("(tier = 1 AND near_n = 1) OR (near_n = 0 AND all_n = 1)").select("use", "name", "definition", "tier")
-    return uses.select("use", "name").distinct().join(chosen, ["use", "name"], "left")
+        # Repeated rows of a use and name share a tier.
+        told = told.withColumn("best", F.max("near_n").over(Window.partitionBy("use", "name")) > 0).select("use", "name", "near", "best")
+        inner = told.where("best").join(definitions, ["name", "near"]).select("use", "name", "definition", F.lit(1).alias("tier"))
+        return inner.unionByName(told.where("NOT best").join(definitions.select("name", "definition"), "name").select("use", "name", "definition", F.lit(2).alias("tier")))
+    every = one("name").select(F.col("name").alias("_name"), F.col("n").alias("all_n"), F.col("one").alias("all_one"))
+    told = told.join(every, F.col("name") == F.col("_name"), "left")
+    counted = told.groupBy("use", "name").agg(F.sum("near_n").alias("near_n"), F.max("near_one").alias("near_one"), F.sum(F.coalesce("all_n", F.lit(0))).alias("all_n"), F.max("all_one").alias("all_one"))
+    tier = F.when(F.col("use").isNull(), None).when(F.col("near_n") == 1, 1).when((F.col("near_n") == 0) & (F.col("all_n") == 1), 2)
+    found = counted.withColumn("tier", tier)
+    return found.select("use", "name", F.when(F.col("tier") == 1, F.col("near_one")).when(F.col("tier") == 2, F.col("all_one")).alias("definition"), "tier")
 
 
 def overrides(inherits: DataFrame, methods: DataFrame) -> DataFrame:

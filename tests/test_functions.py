@@ -64,6 +64,27 @@ def test_depth_of_long_chains_and_cycles(spark):
     assert max(r.depth for r in graph.inherit_depth(nodes, inherits, 100).collect()) == 100
 
 
+@pytest.mark.parametrize("unique", [False, True])
+def test_resolution_of_every_kind_of_row(spark, unique):
+    """Repeated uses, nulls everywhere, names without definitions, against all pairs by hand."""
+    rng = random.Random(3)
+    uses = [(rng.choice([None, *range(40)]), rng.choice([None, *"abcdefgh"]), rng.choice([None, True, False])) for _ in range(120)]
+    defined = [(rng.choice([None, *range(9)]), n, near) for n in (None, *"abcdef") for near in [rng.choice([None, True, False]) for _ in range(rng.randrange(4))]]
+    found = {}
+    for use, name, near in uses:
+        found.setdefault((use, name), []).extend((d, 1 if near is not None and near == x else 2) for d, n, x in defined if name is not None and n == name)
+    want = []
+    for (use, name), all_ in found.items():
+        near = [f for f in all_ if f[1] == 1]
+        if not unique:
+            want += [(use, name, *f) for f in near or all_]
+        else:
+            one = near if len(near) == 1 else all_ if not near and len(all_) == 1 else []
+            want.append((use, name, *(one[0] if one and use is not None else (None, None))))
+    frame = graph.ranked_resolution(spark.createDataFrame(uses, "use int, name string, near boolean"), spark.createDataFrame(defined, "definition int, name string, near boolean"), unique)
+    assert sorted(map(tuple, frame.select("use", "name", "definition", "tier").collect()), key=str) == sorted(want, key=str)
+
+
 def rows(frame):
     clean = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else round(v, 9) if isinstance(v, float) else v
     return sorted(map(str, ([clean(v) for v in r] for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))))
