@@ -85,6 +85,13 @@ def test_resolution_of_every_kind_of_row(spark, unique):
     assert sorted(map(tuple, frame.select("use", "name", "definition", "tier").collect()), key=str) == sorted(want, key=str)
 
 
+def test_resolution_of_one_makes_no_pairs(spark):
+    """A use of a name with many definitions doesn't meet each of them to be left unresolved."""
+    uses = spark.range(3000).select(F.col("id").alias("use"), F.lit("a").alias("name"), F.lit(True).alias("near"))
+    plan = graph.ranked_resolution(uses, uses.withColumnRenamed("use", "definition"), True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") >= 3
+
+
 def rows(frame):
     clean = lambda v: None if v is None or (not hasattr(v, "__len__") and pd.isna(v)) else round(v, 9) if isinstance(v, float) else v
     return sorted(map(str, ([clean(v) for v in r] for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))))
