@@ -1,6 +1,7 @@
 """Searches, node texts, deepening as it is asked for, a graph as JSON, focus rules and reports, on small trees of our own."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,27 @@ def test_reports_on_disk(spark, tmp_path):
 
 def test_call_facts_of_the_tree(spark, tree):
     assert call_facts(spark.createDataFrame([("x.py", b"def f():\n    g()\n")], "file string, content binary")).count() == 1
+
+
+def test_best_of_all_modes_as_without_cuts(spark):
+    """Many nodes of a class, file, package and parent, equal scores, nodes of several lists: the same as the best of the whole lists, from few rows."""
+    rng = random.Random(2)
+    nodes = [(f"p/f{k % 3}.py::C{k:02}", "CLASS", f"C{k:02}", f"p/f{k % 3}.py", k) for k in range(12)]
+    nodes += [(f"{c[0]}.m{k:02}", "METHOD", f"m{k % 4}", c[3], 100 + k) for c in nodes[:12] for k in range(15)]
+    nodes += [(f"p/f{k % 9}.py::g{k:02}", "FUNCTION", f"g{k:02}", f"p/f{k % 9}.py", k) for k in range(30)]
+    nodes += [(f"p/f{k}.py::M", "MODULE", f"f{k}", f"p/f{k}.py", -1) for k in range(9)]
+    classes, ids = [n[0] for n in nodes[:12]], [n[0] for n in nodes]
+    edges = [(i.rsplit(".m", 1)[0], i, "PARENT_CHILD", 0) for i in ids if ".m" in i]
+    edges += [(c, classes[rng.choice([0, 1, rng.randrange(12)])], "INHERITS", 0) for c in classes for _ in range(2)]
+    edges += [(*rng.sample(ids, 2), "CALLS", k) for k in range(60)] + [(f"p/f{rng.randrange(9)}.py::M", f"p/f{rng.randrange(9)}.py::M", "IMPORTS", k) for k in range(40)]
+    nodes = spark.createDataFrame(nodes, "id string, type string, name string, file string, ord long")
+    edges = spark.createDataFrame(edges, "src string, dst string, relation_type string, ord long")
+    seeds = nodes.select(F.col("id").alias("seed"))
+    whole = [mode(seeds, nodes, edges) for mode in (structure.siblings, structure.inheritance, structure.dependencies, structure.co_dependents)]
+    every = structure.best_per_node(structure.together(*whole), "seed").toPandas().sort_values(["seed", "score", "node"], ascending=[True, False, True])
+    for k in (1, 5):
+        want = every.groupby("seed").head(k)
+        found = structure.related(seeds, nodes, edges, k).toPandas()
+        assert sorted(map(tuple, found[["seed", "node", "score", "reason"]].values)) == sorted(map(tuple, want[["seed", "node", "score", "reason"]].values))
+    most = structure.siblings(seeds, nodes, edges, 5).groupBy("seed", "reason").count().agg(F.max("count")).first()[0]
+    assert most <= 5 + structure.PER_FILE + 1 < whole[0].groupBy("seed", "reason").count().agg(F.max("count")).first()[0]
