@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import byte_texts, fold_ascii, small_batches, written
+from codeloom.llm.shared import byte_texts, fold_ascii, lean, sized_batches, small_batches, written
 
 #: Distinct keys of a bucket, at least; it grows so that the directory keeps at most 2^DEPTH slots.
 CAPACITY, DEPTH = 1024, 16
@@ -45,7 +45,7 @@ def digests(docs: DataFrame, ident: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
     plain = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(digest, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, key binary")
+    return plain.mapInArrow(lean(digest), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, key binary")
 
 
 def directory(prefix_counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -141,7 +141,7 @@ def build_index(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY)
 
     def merge(batches):
         slots, table = known.value
-        for batch in small_batches(batches, 4096):
+        for batch in sized_batches(batches, 1, 8 << 20, 4096):
             schema = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("text", pa.binary()), ("n", pa.int64()), ("largest", batch.schema.field(0).type)])
             merged = Merged()
             for doc_id, t in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
@@ -179,10 +179,10 @@ def build_index(docs: DataFrame, ident="doc_id", text="text", capacity=CAPACITY)
             yield batch_of(out, kind)
 
     plain = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    entries = plain.mapInArrow(merge, f"bucket long, key binary, text binary, n long, largest {id_type}")
+    entries = plain.mapInArrow(lean(merge), f"bucket long, key binary, text binary, n long, largest {id_type}")
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
-    return rows, written(dealt.mapInArrow(own, f"bucket long, key binary, place int, n long, keep_id {id_type}"), "index")
+    return rows, written(dealt.mapInArrow(lean(own), f"bucket long, key binary, place int, n long, keep_id {id_type}"), "index")
 
 
 def with_groups(rows: DataFrame, index: DataFrame, how: str) -> DataFrame:

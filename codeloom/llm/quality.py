@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import byte_buffer, crc_mod, sized_batches, unit_hash
+from codeloom.llm.shared import byte_buffer, crc_mod, lean, sized_batches, unit_hash
 
 FOLDS, HELD_OUT = 3, 1
 PASSAGE, PER_CLASS, BAG, BLOCK = 512, 1500, 16, 512 * 1024
@@ -191,7 +191,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame) -> tuple:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.float32())), batch.column(3)], names=["doc_id", "quality", "x", "hash"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("hash")).mapInArrow(encode, f"doc_id {id_type}, quality int, x array<float>, hash long")
+    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(encode), f"doc_id {id_type}, quality int, x array<float>, hash long")
     found = found.groupBy("doc_id").agg(F.min(F.struct("hash", "quality", "x")).alias("one")).select("doc_id", "one.quality", "one.x").toPandas().sort_values("doc_id")
     y = found["quality"].to_numpy(dtype=float)
     if len(set(y)) < 2:
@@ -225,7 +225,7 @@ def scored(plain: DataFrame, labels: DataFrame) -> DataFrame:
                 p = model.forward(features, own, batch.num_rows)[6]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return plain.mapInArrow(score, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, score double")
+    return plain.mapInArrow(lean(score), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, ident="doc_id", text="text") -> DataFrame:
@@ -244,4 +244,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, ident="doc_id", text="text") -
                 features, own = all_passages(*byte_buffer(batch.column(at)))
                 yield batch.filter(pa.array(model.forward(features, own, batch.num_rows)[6] >= 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +18,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: What tasks of a kind keep in a Python worker for the next of that kind: the kind, and how to forget it.
+KEPT: dict = {}
+
+
+@cache
+def libc():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; the allocators would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if libc():
+        libc().malloc_trim(0)
+
+
+def lean(task, kind: str = ""):
+    """task of a mapInArrow such that its worker, which lives on, holds nothing afterwards but what this kind of task keeps."""
+
+    def run(batches):
+        for other, forget in KEPT.items():
+            if other != kind:
+                forget()
+        give_back()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.exact import repeated_pages, spot_of
-from codeloom.llm.shared import byte_texts, small_batches, written
+from codeloom.llm.shared import byte_texts, lean, small_batches, written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 GUARANTEED = 8 - BITS  # equal positional bytes of a pair
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, ident="doc_id", text="text", shingle: int = SH
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
 
     plain = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return plain.mapInArrow(mark, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    return plain.mapInArrow(lean(mark), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
 def triples() -> list[tuple[int, ...]]:
@@ -94,7 +94,7 @@ def postings(nodes: DataFrame) -> DataFrame:
             keys = np.concatenate([k << 24 | b[:, x] << 16 | b[:, y] << 8 | b[:, z] for k, (x, y, z) in enumerate(chosen)])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(prints, len(chosen)))], names=["key", "fingerprint"])
 
-    return nodes.select("fingerprint").mapInArrow(post, "key long, fingerprint long")
+    return nodes.select("fingerprint").mapInArrow(lean(post), "key long, fingerprint long")
 
 
 def links(prints: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
@@ -142,7 +142,7 @@ def linked(listed: DataFrame, bits: int) -> DataFrame:
                 yield pair_batch(out)
             keys, prints = keys[rest:], prints[rest:]
 
-    return listed.sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return listed.sortWithinPartitions("key").mapInArrow(lean(meet), "a long, b long")
 
 
 def pair_batch(pairs: list) -> pa.RecordBatch:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.shared import byte_texts, sized_batches, small_batches, written
+from codeloom.llm.shared import byte_texts, lean, sized_batches, small_batches, written
 from codeloom.llm.simhash import SEED, components, marked_rows, one_of_each, pair_batch
 
 SHINGLE = 5
@@ -75,7 +75,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     every = max(1, docs.count() // SAMPLE)
     some = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    top = some.mapInArrow(each, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    top = some.mapInArrow(lean(each), "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     top = sorted((r.h % 2**64, r["count"]) for r in top)
     return np.array([h for h, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
 
@@ -108,7 +108,7 @@ def marked_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), pa.array(broad, pa.binary())], names=["doc_id", "node", "n", "prefix", "sketch", "wide", "broad"])
 
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(mark, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, node long, n int, prefix array<long>, sketch binary, wide binary, broad binary")
+    return plain.mapInArrow(lean(mark), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, node long, n int, prefix array<long>, sketch binary, wide binary, broad binary")
 
 
 def three(rows: list) -> pa.RecordBatch:
@@ -170,7 +170,7 @@ def met(listed: DataFrame) -> DataFrame:
         if out:
             yield three(out)
 
-    return by_key(listed.select("h", "node", F.col("n").cast("long"))).mapInArrow(meet, "a long, b long, n int")
+    return by_key(listed.select("h", "node", F.col("n").cast("long"))).mapInArrow(lean(meet), "a long, b long, n int")
 
 
 def alike(sizes: np.ndarray, sketches: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def compared(rows: DataFrame, nodes: DataFrame, rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), node[i])), pa.array(node[others])], names=["a", "b"])
 
     told = rows.join(nodes.select("node", "sketch", "broad"), "node").select("h", "node", F.col("n").cast("long"), "label", "sketch", "broad")
-    pairs = by_key(told).mapInArrow(compare, "a long, b long")
+    pairs = by_key(told).mapInArrow(lean(compare), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -264,7 +264,7 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep[k] = 9 * apart(batch.column(6)[k].as_py(), batch.column(7)[k].as_py()) <= na[k] + nb[k]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return written(of_both(pairs.distinct(), nodes, "n", "sketch", "wide").mapInArrow(near, "a long, b long"), "near")
+    return written(of_both(pairs.distinct(), nodes, "n", "sketch", "wide").mapInArrow(lean(near), "a long, b long"), "near")
 
 
 def decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = marked_rows(own, F.col("own.key"), roles.select("_first.key")).where("_marked").join(roles, F.col("own").eqNullSafe(F.col("_first")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met_ = texts.select("centre", "part", "member", "node", "text").repartition(n, "centre", "part").sortWithinPartitions("centre", "part", "member", "node")
-    return written(met_.mapInArrow(compare, "a long, b long"), "similar")
+    return written(met_.mapInArrow(lean(compare), "a long, b long"), "similar")
 
 
 def similar_components(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from codeloom.llm.shared import small_batches
+from codeloom.llm.shared import KEPT, lean, small_batches
 
 CHUNK, DEALT, OVERLAP, EDGE = 4096, 65536, 512, 4
 #: Pieces that a Python worker remembers.
@@ -64,6 +64,9 @@ def vocabulary(path: str, pattern: str) -> tuple[Pieces, regex.Pattern]:
     return Pieces(ranks, pattern), regex.compile(pattern)
 
 
+KEPT["tokens"] = vocabulary.cache_clear
+
+
 @dataclass
 class Running:
     """The ids of one text, as they come."""
@@ -142,7 +145,7 @@ def encode_in_place(docs: DataFrame, path: str, pattern: str, chunk: int, overla
                 rows.append(run.row())
             yield result_batch(batch.column(0), rows)
 
-    return docs.mapInArrow(encode, result_schema(docs))
+    return docs.mapInArrow(lean(encode, "tokens"), result_schema(docs))
 
 
 def result_schema(docs: DataFrame) -> str:
@@ -199,9 +202,9 @@ def encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: i
             head = following[0]
 
     base = f"row long, start long, doc_id {id_type}, view string, whole boolean"
-    dealt = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, base)
-    parted = dealt.repartition(n, "row", "start").mapInArrow(split, base + ", ends array<int>")
-    return parted.repartition(n, "row").sortWithinPartitions("row", "start").mapInArrow(stitch, result_schema(docs))
+    dealt = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(lean(cut, "tokens"), base)
+    parted = dealt.repartition(n, "row", "start").mapInArrow(lean(split, "tokens"), base + ", ends array<int>")
+    return parted.repartition(n, "row").sortWithinPartitions("row", "start").mapInArrow(lean(stitch, "tokens"), result_schema(docs))
 
 
 def token_report(docs: DataFrame, ident="doc_id", text="text", path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, dealt: int = DEALT, overlap: int = OVERLAP) -> DataFrame:

@@ -453,3 +453,13 @@ def test_wide_sketches_and_stars():
     pairs = {(int(min(i, j)), int(max(i, j))) for i, js in similar.across(labels, sizes, sketches) for j in js}
     assert pairs == {(i, j) for i in range(20) for j in range(i + 1, 20)}
     assert not [1 for _, js in similar.across(np.zeros(40, int), sizes, sketches) for _ in js]
+
+
+def test_workers_give_back_what_other_kinds_keep(spark):
+    """Tables of the encoder stay for its own tasks and go before another kind of task runs."""
+    from codeloom.llm import shared
+
+    path, pattern = tokens.default_vocabulary()
+    tokens.vocabulary(path, pattern)
+    assert list(shared.lean(iter, "tokens")([1, 2])) == [1, 2] and tokens.vocabulary.cache_info().currsize == 1
+    assert list(shared.lean(iter)([1, 2])) == [1, 2] and tokens.vocabulary.cache_info().currsize == 0
