@@ -50,7 +50,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = (after[shingle - 1 :] - 1).tolist()
     for k in range(0, n, 65536):
         hashes = np.array([digest(joined[a:z], SEED) for a, z in zip(starts[k : k + 65536], ends[k : k + 65536], strict=True)], dtype=">u8")
-        total += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        total += ones(hashes)
+    return print_of(total, n)
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the big-endian hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+
+
+def print_of(total: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 

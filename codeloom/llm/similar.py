@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of their sets of five-word shingles, 4/5 or more, with no pair missed.
+"""Near copies by SimHash fingerprints, then an exact check by the Jaccard similarity of five-word shingle sets, 4/5 or more, with no pair missed.
+
+Fingerprints are those of `simhash` over a set's shingles, and its byte-position index with count filtering finds those within
+4 bits. Texts of similarity 4/5 differ in some 10 bits, more than that index reaches: a second, exact index finds the rest. Candidates of both
+go through the same check, and only what passes it is linked; the result is that of all pairs.
 
 Words and shingles are those of `simhash`, with five words; a shingle stands as its XXH64, and a set counts each once.
 Equal sets are one node. Two sets of similarity 4/5 share a shingle among the first n - ceil(4n/5) + 1 of each, in
@@ -6,7 +10,7 @@ any order that is one for all sets. The index lists nodes under those shingles,
 finds common last; the order decides the cost, not the result. Pairs of a list pass three filters, none of which
 loses a pair: their sizes, the parity sketches of their sets, whose differing bits are at most the differing shingles (a large
 set has a wide sketch besides), and the sets themselves. Sets are made once more from the texts, where a text meets those that it is
-compared with: first each node only with its smallest neighbour, then the pairs of which the components so far don't hold both.
+compared with: first each node with its neighbours by fingerprint and its smallest one by the second index, then the pairs of which the components so far don't hold both.
 
 Lists of up to LONG nodes send on their pairs. In a longer one nodes carry their sketches: the list is dealt to stars, each of a
 central node and those that its sketch can't tell from like it. Stars are decided, then one pair of each two components that have one,
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.shared import byte_texts, lean, sized_batches, small_batches, written
-from codeloom.llm.simhash import SEED, components, marked_rows, one_of_each, pair_batch
+from codeloom.llm.simhash import SEED, components, marked_rows, near_links, one_of_each, ones, pair_batch, print_of
 
 SHINGLE = 5
 #: Bits of a parity sketch, and of the second one that a large set has in a list; lists beyond LONG go by stars first; texts of the sample and common shingles taken from it.
@@ -52,6 +56,12 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
+def set_print(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles, each counted once, as a signed long."""
+    total = sum((ones(found[k : k + 65536].astype(">u8")) for k in range(0, len(found), 65536)), np.zeros(64, np.int64))
+    return int(np.uint64(print_of(total, len(found))).astype(np.int64))
+
+
 def sketch_of(found: np.ndarray, bits: int) -> bytes:
     """The parity of the shingles at each of so many places, a power of 2."""
     return np.packbits(np.bincount((found >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
@@ -81,14 +91,14 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n (size of the set), prefix (its indexed shingles), sketch, wide and broad (those of a large set). A task that has seen the node leaves its prefix empty."""
+    """doc_id, node, n (size of the set), prefix (its indexed shingles), sketch, wide and broad (those of a large set), print. A task that has seen the node leaves its prefix empty."""
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def mark(batches):
         common, counts = order.value
         seen: set = set()
         for batch in small_batches(batches):
-            nodes, sizes, prefixes, sketches, wide, broad = [], [], [], [], [], []
+            nodes, sizes, prefixes, sketches, wide, broad, prints = [], [], [], [], [], [], []
             for t in byte_texts(batch.column(1)):
                 h = shingles(t)
                 weight = np.zeros(len(h), np.int64)
@@ -102,13 +112,14 @@ def marked_texts(docs: DataFrame) -> DataFrame:
                     seen.clear()
                 seen.add(node)
                 sketches.append(sketch_of(h, SKETCH))
+                prints.append(set_print(h))
                 wide.append(sketch_of(h, 1 << (len(h) - 1).bit_length()) if len(h) > SKETCH else None)
                 broad.append(sketch_of(h, BROAD) if len(h) > SKETCH else None)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), pa.array(broad, pa.binary())], names=["doc_id", "node", "n", "prefix", "sketch", "wide", "broad"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()), pa.array(wide, pa.binary()), pa.array(broad, pa.binary()), pa.array(prints, pa.int64())], names=["doc_id", "node", "n", "prefix", "sketch", "wide", "broad", "print"])
 
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(lean(mark), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, node long, n int, prefix array<long>, sketch binary, wide binary, broad binary")
+    return plain.mapInArrow(lean(mark), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, node long, n int, prefix array<long>, sketch binary, wide binary, broad binary, print long")
 
 
 def three(rows: list) -> pa.RecordBatch:
@@ -301,16 +312,26 @@ def decided(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(met_.mapInArrow(lean(compare), "a long, b long"), "similar")
 
 
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """a, b: nodes whose fingerprints are equal or within 4 bits, a below b: as few as make their components. nodes: (node, print)."""
+    heads = written(nodes.groupBy(F.col("print").alias("fingerprint")).agg(F.min("node").alias("head")), "prints")
+    head = lambda side: heads.select(F.col("fingerprint").alias(side), F.col("head").alias(f"{side}_head"))
+    linked = near_links(heads.select("fingerprint")).distinct().join(head("a"), "a").join(head("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    equal = nodes.join(heads, F.col("print") == F.col("fingerprint")).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return linked.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row of (doc_id, text); doc_id as `simhash.one_of_each` makes it."""
     marked = written(marked_texts(docs), "marked")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("broad").alias("broad")), "nodes")
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("broad").alias("broad"), F.first("print").alias("print")), "nodes")
     found = written(met(marked.select(F.explode("prefix").alias("h"), "node", "n")), "met")
     pairs = found.where("n < 0").select("a", "b")
     long = found.where("n >= 0").select(F.col("a").alias("h"), F.col("b").alias("node"), "n")
     some = not long.isEmpty()
     near = sketched(pairs.unionByName(compared(long.withColumn("label", F.col("node")), nodes, stars)) if some else pairs, nodes)
-    links = decided(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nodes, docs)
+    alike_prints = sketched(near_prints(nodes), nodes)
+    links = decided(alike_prints.unionByName(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), nodes, docs)
     named = nodes.select(F.col("node").alias("fingerprint"), F.col("node").alias("first"))
 
     def unlinked(pairs: DataFrame, parts: DataFrame) -> DataFrame:

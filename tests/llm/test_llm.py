@@ -455,6 +455,22 @@ def test_wide_sketches_and_stars():
     assert not [1 for _, js in similar.across(np.zeros(40, int), sizes, sketches) for _ in js]
 
 
+def test_near_dedup_takes_simhash(spark, monkeypatch):
+    """With the second index silent, texts within 4 bits still meet by their fingerprints; the exact check still decides."""
+    from codeloom.llm import similar
+
+    r = random.Random(8)
+    base = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(400)) for _ in range(3)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(10 + k, t + " end") for k, t in enumerate(base)]
+    prints = {d: np.uint64(similar.set_print(similar.shingles(t.encode())) % 2**64) for d, t in rows}
+    assert all(int(np.bitwise_count(prints[k] ^ prints[10 + k])) <= 4 for k in range(3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(similar, "met", lambda listed: spark.createDataFrame([], "a long, b long, n int"))
+    assert sorted(x.doc_id for x in similar.drop_similar(docs).collect()) == [0, 1, 2]
+    nodes = spark.createDataFrame([(5, 77), (1, 77), (3, 77 ^ 15), (9, 77 ^ 31), (7, ~77)], "node long, print long")  # equal, 4, 5 and 64 bits apart
+    assert {(x.a, x.b) for x in similar.near_prints(nodes).collect()} == {(1, 5), (1, 3), (3, 9)}
+
+
 def test_workers_give_back_what_other_kinds_keep(spark):
     """Tables of the encoder stay for its own tasks and go before another kind of task runs."""
     from codeloom.llm import shared
